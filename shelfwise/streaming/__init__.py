@@ -1,0 +1 @@
+"""Intentionally empty: the workload is batch-only (the event log is read once per run)."""
