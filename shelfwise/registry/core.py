@@ -45,7 +45,9 @@ def compose(body: str) -> str:
     parts = [f"{name} AS ({CTES[name]})" for name in CTES if name in needed]
     if not parts:
         return body
-    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
+    lead = re.match(r"\s*WITH\s", body)
+    own = ",\n" + body[lead.end():] if lead else "\n" + body
+    return "WITH RECURSIVE " + ",\n".join(parts) + own
 
 
 def ts_text(column: Column | str) -> Column:
