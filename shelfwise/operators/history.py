@@ -19,12 +19,17 @@ from shelfwise.operators.skew import salted_join
 from shelfwise.params import ACTION_SIGNAL, Recency
 
 
+def signal_of(action_type: Column) -> Column:
+    mapped = F.lit(None).cast("string")
+    for action, signal in ACTION_SIGNAL.items():
+        mapped = F.when(action_type == action, signal).otherwise(mapped)
+    return mapped
+
+
 def signals(events: DataFrame, strict: bool = True) -> DataFrame:
     """The log as one long table of five signals; quantity is 1, search is always resolved. An unknown
     action type fails the job (strict) or is dropped."""
-    mapped = F.lit(None).cast("string")
-    for action, signal in ACTION_SIGNAL.items():
-        mapped = F.when(F.col("action_type") == action, signal).otherwise(mapped)
+    mapped = signal_of(F.col("action_type"))
     if strict:
         mapped = F.coalesce(mapped, F.raise_error(F.concat(F.lit("unknown action type "), F.coalesce("action_type", F.lit("NULL")))).cast("string"))
     return events.select("event_id", "user_id", "product_id", mapped.alias("signal"), F.col("action_time").alias("ts")).where("signal IS NOT NULL")

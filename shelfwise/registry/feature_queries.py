@@ -168,7 +168,7 @@ def _(t):
 
 
 @query("order_category_affinity", "B11 D8", """
-  SELECT user_id, name, round(v / sum(v) OVER (PARTITION BY user_id), 9) AS weight FROM (
+  SELECT user_id, name, round(v / sum(v) OVER (PARTITION BY user_id), 10) AS weight FROM (
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY round(v, 12) DESC, name) AS rn FROM (
       SELECT o_custkey AS user_id, category_name AS name, sum(0.45::DOUBLE * l_quantity) AS v
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN x_catalog ON product_id = l_partkey
@@ -176,7 +176,7 @@ def _(t):
 def _(t):
     hist = orders.order_history(orders.counted_purchases(t.orders, t.order_items, COUNTED_ORDER_STATUSES))
     a = affinity.top_normalised(affinity.contributions(hist, catalog.denormalise(t), "category_name", P), P.max_top_categories)
-    return a.select(F.col("example_id").alias("user_id"), "name", r("weight", 9).alias("weight"))
+    return a.select(F.col("example_id").alias("user_id"), "name", r("weight", 10).alias("weight"))
 
 
 @query("price_distance", "B4 H12", """
