@@ -67,17 +67,17 @@ def as_map(affinity: DataFrame, alias: str) -> DataFrame:
 
 def signal_vectors(hist: DataFrame, embeddings: DataFrame, params: FeatureParams, dim: int) -> DataFrame:
     """Per (example, signal): the decay-weighted mean vector, and base weight x mean decay as its blend weight."""
+    # the floor keeps a plain mean where every decay factor has underflowed
+    floored = F.greatest(F.col("w"), F.col("n") * F.lit(1e-300))
     agg = hist.join(embeddings, "product_id").groupBy("example_id", "signal").agg(
-        F.sum("n").alias("n"), F.sum("w").alias("w"),
-        vectors.weighted_sum(F.col("embedding"), F.col("w"), dim).alias("wv"),
-        vectors.weighted_sum(F.col("embedding"), F.col("n").cast("double"), dim).alias("nv"),
-    )
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(floored).alias("fw"),
+        vectors.weighted_sum(F.col("embedding"), floored, dim).alias("wv"))
     return blend_components(agg, params)
 
 
 def blend_components(agg: DataFrame, params: FeatureParams) -> DataFrame:
-    mean = F.when(F.col("w") > 0, vectors.scale(F.col("wv"), 1 / F.col("w"))).otherwise(vectors.scale(F.col("nv"), 1 / F.col("n")))
-    return agg.select("example_id", "signal", mean.alias("vector"), (base_weight(params) * F.col("w") / F.col("n")).alias("blend_weight"))
+    return agg.select("example_id", "signal", vectors.scale(F.col("wv"), 1 / F.col("fw")).alias("vector"),
+                      (base_weight(params) * F.col("w") / F.col("n")).alias("blend_weight"))
 
 
 def user_vectors(components: DataFrame, dim: int) -> DataFrame:

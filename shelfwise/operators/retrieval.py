@@ -106,7 +106,7 @@ def exact_topk(queries: DataFrame, items: DataFrame, k: int, params: RetrievalPa
     blocks = max(1, math.ceil(items.count() / params.item_block_rows))
     chunks = _chunks(queries.count(), params, queries.sparkSession.sparkContext.defaultParallelism)
     placed = items.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("bigint"))
-    sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint"))
+    sent = queries.withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
     hits = _match(sent, placed, k, chunks, cosine)
     return hits if blocks == 1 else _merge(hits, k)
 
