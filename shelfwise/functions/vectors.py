@@ -29,10 +29,10 @@ def l2_normalise(a: Column) -> Column:
     return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
 
 
-def weighted_sum(vector: Column, weight: Column, dim: int) -> Column:
-    """Aggregate: element-wise SUM(weight * vector), as one partial aggregation of `dim` sums
-    (no row explosion, combined map-side)."""
-    return F.array(*[F.sum(weight * vector[i].cast("double")) for i in range(dim)])
+def weighted_sum(vector: str, weight: str, dim: int) -> Column:
+    """Aggregate over two named columns: element-wise SUM(weight * vector), as one partial aggregation of
+    `dim` sums (no row explosion, combined map-side)."""
+    return F.expr("array(" + ", ".join(f"sum({weight} * {vector}[{i}])" for i in range(dim)) + ")")
 
 
 def scale(vector: Column, factor: Column) -> Column:

@@ -68,10 +68,9 @@ def as_map(affinity: DataFrame, alias: str) -> DataFrame:
 def signal_vectors(hist: DataFrame, embeddings: DataFrame, params: FeatureParams, dim: int) -> DataFrame:
     """Per (example, signal): the decay-weighted mean vector, and base weight x mean decay as its blend weight."""
     # the floor keeps a plain mean where every decay factor has underflowed
-    floored = F.greatest(F.col("w"), F.col("n") * F.lit(1e-300))
-    agg = hist.join(embeddings, "product_id").groupBy("example_id", "signal").agg(
-        F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum(floored).alias("fw"),
-        vectors.weighted_sum(F.col("embedding"), floored, dim).alias("wv"))
+    rows = hist.join(embeddings, "product_id").withColumn("fw", F.greatest(F.col("w"), F.col("n") * F.lit(1e-300)))
+    agg = rows.groupBy("example_id", "signal").agg(
+        F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("fw").alias("fw"), vectors.weighted_sum("embedding", "fw", dim).alias("wv"))
     return blend_components(agg, params)
 
 
@@ -84,7 +83,7 @@ def user_vectors(components: DataFrame, dim: int) -> DataFrame:
     """Weighted average over the signals an example really has."""
     agg = components.where("blend_weight > 0").groupBy("example_id").agg(
         F.sum("blend_weight").alias("total"),
-        vectors.weighted_sum(F.col("vector"), F.col("blend_weight"), dim).alias("s"))
+        vectors.weighted_sum("vector", "blend_weight", dim).alias("s"))
     return agg.select("example_id", vectors.scale(F.col("s"), 1 / F.col("total")).alias("vector"))
 
 
