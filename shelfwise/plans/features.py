@@ -33,15 +33,9 @@ def live_examples(users: DataFrame) -> DataFrame:
     return users.select(F.col("user_id").alias("example_id"), "user_id")
 
 
-def user_features(hist: DataFrame, examples: DataFrame, cat: Catalog, embeddings: DataFrame, params: FeatureParams,
-                  dim: int = EMBEDDING_DIM) -> DataFrame:
-    """One row per example: counts, affinity maps, vector and price profile. `hist` should be staged; it
-    feeds five aggregations."""
-    counts = history.engagement_counts(hist, examples)
-    by_category = affinity.category_affinity(hist, cat.features, examples, cat.users, params)
-    by_brand = affinity.brand_affinity(hist, cat.features, params)
-    vector = affinity.user_vectors(affinity.signal_vectors(hist, embeddings, params, dim), dim)
-    summary = affinity.price_summary(affinity.purchase_prices(hist, cat.features))
+def assemble(examples: DataFrame, counts: DataFrame, by_category: DataFrame, by_brand: DataFrame, vector: DataFrame, summary: DataFrame,
+             cat: Catalog) -> DataFrame:
+    """One row per example from its parts; missing parts become empty maps and NULL vectors."""
     price = affinity.price_profiles(summary, examples, cat.users, cat.features, cat.context, cat.category_prices).drop("user_id")
     empty = F.create_map().cast("map<string,double>")
     return (
@@ -56,6 +50,17 @@ def user_features(hist: DataFrame, examples: DataFrame, cat: Catalog, embeddings
     )
 
 
+def user_features(hist: DataFrame, examples: DataFrame, cat: Catalog, embeddings: DataFrame, params: FeatureParams,
+                  dim: int = EMBEDDING_DIM) -> DataFrame:
+    """Features per example from a history table. `hist` should be staged; it feeds five aggregations."""
+    return assemble(
+        examples, history.engagement_counts(hist, examples),
+        affinity.category_affinity(hist, cat.features, examples, cat.users, params),
+        affinity.brand_affinity(hist, cat.features, params),
+        affinity.user_vectors(affinity.signal_vectors(hist, embeddings, params, dim), dim),
+        affinity.price_summary(affinity.purchase_prices(hist, cat.features)), cat)
+
+
 def latest_time(events: DataFrame) -> Column:
     """The log's last timestamp as a scalar subquery."""
     return events.agg(F.max("action_time").alias("now")).scalar()

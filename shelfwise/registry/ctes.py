@@ -179,7 +179,7 @@ def counts(hist: str, examples: str) -> str:
     return f"""
   SELECT e.example_id, e.user_id,
          count(*) FILTER (signal = 'click') AS click_count, count(*) FILTER (signal = 'purchase') AS purchase_count,
-         count(DISTINCT product_id) FILTER (signal = 'purchase') AS distinct_products_purchased,
+         count(DISTINCT h.product_id) FILTER (signal = 'purchase') AS distinct_products_purchased,
          count(*) FILTER (signal = 'cart') AS cart_item_count, count(*) FILTER (signal = 'search') AS search_count,
          count(*) FILTER (signal = 'chatbot') > 0 AS has_chatbot_context,
          count(*) FILTER (signal IN ('click','purchase','cart','search')) + (count(*) FILTER (signal = 'chatbot') > 0)::BIGINT AS total_engagement_events
