@@ -71,10 +71,13 @@ def chatbot_flags(counts: DataFrame, summary_mentions: DataFrame, pairs: DataFra
 
 
 def examples(roles: DataFrame) -> DataFrame:
-    """Training examples (one per train product) and evaluation cases (product NULL), with their ids."""
-    train = roles.where("role = 'train'").select(pair_id(F.col("user_id"), F.col("product_id")).alias("example_id"), "user_id", "product_id", F.lit("train").alias("kind"))
-    evaluable = roles.where("role = 'test'").select((-F.col("user_id") - 1).alias("example_id"), "user_id", F.lit(None).cast("bigint").alias("product_id"), F.lit("eval").alias("kind"))
-    return train.unionByName(evaluable)
+    """Training examples (one per train product) and one user-level example per purchasing user, which leaves out
+    only the held-out products (product NULL; `evaluable` where both val and test exist)."""
+    train = roles.where("role = 'train'").select(pair_id(F.col("user_id"), F.col("product_id")).alias("example_id"), "user_id", "product_id",
+                                                 F.lit("train").alias("kind"), F.lit(False).alias("evaluable"))
+    per_user = roles.groupBy("user_id").agg(F.max(F.col("role") == "test").alias("evaluable")).select(
+        (-F.col("user_id") - 1).alias("example_id"), "user_id", F.lit(None).cast("bigint").alias("product_id"), F.lit("user").alias("kind"), "evaluable")
+    return train.unionByName(per_user)
 
 
 def chatbot_usable(ex: DataFrame, flags: DataFrame, held: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ CTES["x_loorole"] = """
     SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY md5('42:' || user_id || ':' || product_id), product_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM x_loopair)"""
 CTES["x_looex"] = """
   SELECT user_id * 1000000 + product_id AS example_id, user_id, product_id FROM x_loorole WHERE role = 'train'
-  UNION ALL SELECT -user_id - 1, user_id, NULL FROM x_loorole WHERE role = 'test'"""
+  UNION ALL SELECT DISTINCT -user_id - 1, user_id, NULL::BIGINT FROM x_loorole"""
 CTES["x_looexcl"] = """
   SELECT e.example_id, e.user_id, h.product_id FROM x_looex e JOIN x_loorole h ON h.user_id = e.user_id AND h.role <> 'train'
   UNION SELECT example_id, user_id, product_id FROM x_looex WHERE product_id IS NOT NULL"""
