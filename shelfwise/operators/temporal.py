@@ -89,8 +89,8 @@ def audit(history: DataFrame, points: DataFrame, target: DataFrame) -> DataFrame
     was really used, with (user_id, split) naming its point. An earlier purchase of a target is legal."""
     marked = target.select("user_id", "split", "product_id", F.lit(True).alias("is_target"))
     bad = F.col("action_time").isNull() | (F.col("action_time") >= F.col("cutoff"))
-    rows = history.select("user_id", "split", "product_id", "action_type", "action_time").join(
-        points.select("user_id", "split", "cutoff"), ["user_id", "split"]).where(bad)
+    # no violating row is expected, so the filter runs before anything else touches the rows
+    rows = salted_join(history.select("user_id", "split", "product_id", "action_type", "action_time"), points.select("user_id", "split", "cutoff"), ["user_id", "split"], condition=bad)
     rows = rows.join(marked, ["user_id", "split", "product_id"], "left")
     found = rows.groupBy("user_id", "split").agg(
         F.count(F.lit(1)).alias("violations"), F.count(F.when(F.col("action_time").isNull(), 1)).alias("without_time"),

@@ -11,14 +11,17 @@ def parse_time(text: Column) -> Column:
     return F.try_to_timestamp(text).cast("timestamp_ntz")
 
 
+_NTZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"
+
+
 def save(tables: dict[str, DataFrame], out_dir: str) -> None:
     for name, df in tables.items():
-        df.write.mode("overwrite").option("ignoreNullFields", "false").json(f"{out_dir}/{name}")
+        df.write.mode("overwrite").option("ignoreNullFields", "false").option("timestampNTZFormat", _NTZ).json(f"{out_dir}/{name}")
 
 
 def read(spark: SparkSession, in_dir: str, schemas: dict) -> dict[str, DataFrame]:
     """Rows that do not fit the declared schema fail the read."""
-    return {name: spark.read.schema(schema).option("mode", "FAILFAST").json(f"{in_dir}/{name}") for name, schema in schemas.items()}
+    return {name: spark.read.schema(schema).option("mode", "FAILFAST").option("timestampNTZFormat", _NTZ).json(f"{in_dir}/{name}") for name, schema in schemas.items()}
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
