@@ -20,18 +20,18 @@ def tag_arrays(product_tags: DataFrame, tags: DataFrame) -> DataFrame:
     )
 
 
+def priced_products(t: Tables) -> DataFrame:
+    """Stored products with booleans and effective price, no joins."""
+    return (t.products.withColumn("is_active", F.col("is_active").cast("boolean"))
+            .withColumn("effective_price", pricing.effective_price(F.col("price"), F.col("sale_price")))
+            .withColumn("is_discounted", pricing.is_discounted(F.col("price"), F.col("sale_price"))))
+
+
 def denormalise(t: Tables, with_tags: bool = False) -> DataFrame:
     """Products with category and parent-category names, effective price, and booleans."""
     cat = t.categories.select("category_id", F.col("name").alias("category_name"), "parent_id")
     parent = t.categories.select(F.col("category_id").alias("parent_id"), F.col("name").alias("parent_category_name"))
-    out = (
-        t.products.withColumn("is_active", F.col("is_active").cast("boolean"))
-        .join(cat, "category_id", "left")
-        .join(parent, "parent_id", "left")
-        .drop("parent_id")
-        .withColumn("effective_price", pricing.effective_price(F.col("price"), F.col("sale_price")))
-        .withColumn("is_discounted", pricing.is_discounted(F.col("price"), F.col("sale_price")))
-    )
+    out = priced_products(t).join(cat, "category_id", "left").join(parent, "parent_id", "left").drop("parent_id")
     if with_tags:
         out = out.join(tag_arrays(t.product_tags, t.tags), "product_id", "left").withColumn(
             "tags", F.coalesce("tags", F.array().cast("array<string>")))
@@ -125,7 +125,7 @@ def product_features(t: Tables, events: DataFrame | None, params: EligibilityPar
     """The product feature table. `events` carries the popularity window: the whole log, a log cut at
     some time, or None for no popularity at all."""
     catalog = denormalise(t)
-    ctx = price_context(catalog)
+    ctx = price_context(priced_products(t))
     out = catalog.join(category_relative_price(catalog), ["category_name", "effective_price"], "left")
     # a scalar subquery: the one row of statistics is computed once and inlined, no join
     stats = ctx.select(F.struct("tier_lower", "tier_upper", "max_price").alias("s")).scalar()

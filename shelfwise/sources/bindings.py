@@ -46,17 +46,13 @@ class Tables:
     # --- catalog ---------------------------------------------------------------------------
     @cached_property
     def categories(self) -> DataFrame:
+        """Product types and the parent categories in use, from one scan."""
+        kind = F.col("p_type")
+        parent = _mapped(kind, CATEGORY_PARENTS).cast("bigint")
+        leaf = F.struct(_mapped(kind, CATEGORY_IDS).cast("bigint").alias("category_id"), kind.alias("name"), parent.alias("parent_id"))
+        above = F.when(parent.isNotNull(), F.struct(parent.alias("category_id"), _mapped(parent, PARENT_NAMES).alias("name"), F.lit(None).cast("bigint").alias("parent_id")))
         types = self.scan("part").select("p_type").distinct()
-        leaves = types.select(
-            _mapped(F.col("p_type"), CATEGORY_IDS).cast("bigint").alias("category_id"),
-            F.col("p_type").alias("name"),
-            _mapped(F.col("p_type"), CATEGORY_PARENTS).cast("bigint").alias("parent_id"),
-        )
-        used = leaves.select(F.col("parent_id").alias("category_id")).where("category_id IS NOT NULL").distinct()
-        parents = used.select(
-            "category_id", _mapped(F.col("category_id"), PARENT_NAMES).alias("name"), F.lit(None).cast("bigint").alias("parent_id")
-        )
-        return leaves.unionByName(parents)
+        return types.select(F.explode(F.array_compact(F.array(leaf, above))).alias("c")).select("c.*").distinct()
 
     @cached_property
     def products(self) -> DataFrame:
