@@ -42,20 +42,25 @@ def personalised(features: DataFrame, cat: Catalog, embeddings: DataFrame, pool:
                          F.col("model_score").alias("score"), F.lit("personalized").alias("source"))
 
 
+def _with_list(rows: DataFrame, top: DataFrame) -> DataFrame:
+    """Every row with every entry of a popularity list of at most `pool` products, carried as one array value."""
+    entries = top.agg(F.collect_list(F.struct("product_id", "rank", "list_size")).alias("l")).scalar()
+    return rows.withColumn("_entry", F.explode(entries)).select(*rows.columns, "_entry.*")
+
+
 def _sparse_pool(sparse: DataFrame, own: DataFrame, top_global: DataFrame, top_category: DataFrame, global_cat_rank: DataFrame,
                  pool: int, params: Params) -> DataFrame:
     c = params.cold_start
     size = own.groupBy("example_id").agg(F.count(F.lit(1)).alias("list_size"))
     mine = own.join(size, "example_id").select("example_id", F.lit(0).alias("source_order"), F.lit("personalized").alias("source"),
                                               F.lit(c.blend_personalized).alias("weight"), "product_id", F.col("position").alias("rank"), "list_size")
-    users = sparse.select("example_id", "preferred_category", F.lit("sparse").alias("tier"))
+    users = sparse.select("example_id", "preferred_category")
     # products of the global list also count in the preferred list, at their true rank there
     preferred_rows = top_category.unionByName(global_cat_rank.select("category_name", "product_id", "rank", "list_size")).distinct()
     preferred = users.join(preferred_rows, F.col("preferred_category") == F.col("category_name")).select(
         "example_id", F.lit(1).alias("source_order"), F.lit("preferred_category").alias("source"), F.lit(c.blend_preferred_category).alias("weight"),
         "product_id", "rank", "list_size")
-    # at most `pool` rows on the list side
-    popular = users.join(F.broadcast(top_global.withColumn("tier", F.lit("sparse"))), "tier").select(
+    popular = _with_list(users, top_global).select(
         "example_id", F.lit(2).alias("source_order"), F.lit("popularity").alias("source"), F.lit(c.blend_popularity).alias("weight"),
         "product_id", "rank", "list_size")
     return cand.blend(mine.unionByName(preferred).unionByName(popular), "example_id", pool)
@@ -70,8 +75,7 @@ def _fallback_pools(groups: DataFrame, top_global: DataFrame, top_category: Data
             parts.append(groups.join(top_category, F.col(column) == F.col("category_name")).select(
                 "group_id", F.lit(order[name]).alias("source_order"), F.lit(name).alias("source"), "product_id", "rank", "list_size"))
     if "global_popularity" in order:
-        top = F.broadcast(top_global.withColumn("tier", F.lit("no_history")))  # at most `pool` rows
-        parts.append(groups.withColumn("tier", F.lit("no_history")).join(top, "tier").select(
+        parts.append(_with_list(groups, top_global).select(
             "group_id", F.lit(order["global_popularity"]).alias("source_order"), F.lit("global_popularity").alias("source"), "product_id", "rank", "list_size"))
     rows = parts[0]
     for p in parts[1:]:
