@@ -74,9 +74,9 @@ def test_salted_join_equals_plain_join_under_skew(spark):
     facts = facts.unionByName(spark.createDataFrame([(9999, None, 1)], "id bigint, k bigint, v bigint"))
     dims = spark.createDataFrame([(k, lim) for k in range(40) for lim in (2, 5)], "k bigint, lim bigint")
     plain = facts.join(dims, "k").where("v < lim").select("id", "lim")
-    salted = salted_join(facts, dims, ["k"], condition=F.col("v") < F.col("lim"), salts=8, hot_rows=100, spread=["id"]).select("id", "lim")
+    salted = salted_join(facts, dims, ["k"], condition=F.col("v") < F.col("lim"), hot_rows=100, spread=["id"]).select("id", "lim")
     assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, salted.collect()))
-    left = salted_join(facts, dims, ["k"], how="left", salts=8, hot_rows=100, spread=["id"])
+    left = salted_join(facts, dims, ["k"], how="left", hot_rows=100, spread=["id"])
     assert left.count() == facts.join(dims, "k", "left").count()
 
 
