@@ -1 +1 @@
-"""Named queries over the benchmark tables, each with its reference SQL where SQL can express it."""
+"""Named queries over the benchmark tables, each with its check SQL where SQL can express it."""

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text
-from shelfwise.operators import affinity, catalog, eligibility, encode, history, price_neighbours, quality, ranking, retrieval, temporal
+from shelfwise.operators import affinity, catalog, eligibility, encode, history, price_neighbours, quality
 from shelfwise.operators import candidates as cand
 from shelfwise.params import DEFAULTS
-from shelfwise.plans import evaluate, examples, features, serve
+from shelfwise.plans import evaluate, features, serve
 from shelfwise.registry import serve_queries
 from shelfwise.registry.core import long, query, r, ts_text
 from shelfwise.registry.ctes import CTES

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from shelfwise.operators import affinity, catalog, eligibility, history, metrics, retrieval, temporal
 from shelfwise.params import DEFAULTS, Recency
 from shelfwise.plans import evaluate, features
-from shelfwise.registry.core import long, query, r, ts_text
+from shelfwise.registry.core import query, r, ts_text
 from shelfwise.registry.ctes import CTES
 
 P = DEFAULTS
