@@ -7,17 +7,20 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _own_dir: str | None = None
 
 
-def stage_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names in spark.checkpoint.dir; only where it is unset (tests on one
-    machine) a temporary folder of our own."""
+def stage_root(spark: SparkSession) -> str | None:
+    """The shared folder the cluster names in spark.checkpoint.dir. Where it is unset, a temporary folder of our own in
+    local mode (one machine, as in tests) and None on a cluster, whose machines share no local folder."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        return None
     global _own_dir
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="spark-shelfwise-")
@@ -27,8 +30,12 @@ def stage_root(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write `df` as parquet into the shared folder and read it back. Survives lost executors, is computed
-    once, and gives the following joins real sizes to plan with."""
+    once, and gives the following joins real sizes to plan with. A cluster without a shared folder keeps the rows in
+    executors' memory and disk, with their lineage."""
     spark = df.sparkSession
-    path = f"{stage_root(spark)}/shelfwise/{name}-{uuid.uuid4().hex}"
+    root = stage_root(spark)
+    if root is None:
+        return df.persist(StorageLevel.MEMORY_AND_DISK)
+    path = f"{root}/shelfwise/{name}-{uuid.uuid4().hex}"
     df.write.mode("errorifexists").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
