@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfwise.llm import packing, token_counts
+from shelfwise.llm import exact_dedup, packing, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -29,3 +29,16 @@ def op1_token_counts(spark, sf_dir):
 @_query
 def op4_packing(spark, sf_dir):
     return packing.pack(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_exact_dedup(spark, sf_dir):
+    return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents"))
+
+
+SQL["op10_exact_dedup"] = r"""
+WITH d AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size,
+       doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
+FROM d
+"""
