@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfwise.llm import exact_dedup, near_dedup, packing, token_counts
+from shelfwise.llm import exact_dedup, near_dedup, packing, pii, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -62,3 +63,9 @@ r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT e.b, r.
 SELECT r.node AS doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reach) AS component_id, r.node = min(reach) AS kept
 FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node
 """
+
+
+@_query
+def op7_pii(spark, sf_dir):
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.span_text(F.col("base_spans")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
