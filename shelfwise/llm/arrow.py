@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROWS_AT_ONCE = 256
@@ -34,5 +34,11 @@ def per_batch(df: DataFrame, columns: dict[str, str], fn: Callable[[pa.RecordBat
     return df.select(*[F.col(_quoted(c)).alias(n) for n, c in columns.items()]).mapInArrow(run, schema)
 
 
+def by_hash(df: DataFrame, rows: int, key: Column) -> DataFrame:
+    """About `rows` rows of `df` (all where it has fewer), the same ones on every run: those whose hash is below a limit."""
+    share = min(1.0, rows / max(1, df.count()))
+    return df if share == 1.0 else df.where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30)))
+
+
 def _quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"

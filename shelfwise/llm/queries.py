@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import exact_dedup, near_dedup, packing, pii, token_counts
+from shelfwise.llm import exact_dedup, language_id, near_dedup, packing, pii, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -69,3 +69,9 @@ FROM r LEFT JOIN n ON n.doc_id = r.node GROUP BY r.node
 def op7_pii(spark, sf_dir):
     found = pii.find(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_email", "n_ip", "n_card", "n_phone", F.sha2(pii.span_text(F.col("base_spans")), 256).alias("base_sha256"), pii.span_text(F.col("spans")).alias("spans"))
+
+
+@_query
+def op2_language_id(spark, sf_dir):
+    documents = _table(spark, sf_dir, "documents")
+    return language_id.identify(documents, language_id.fit(documents, "text", "lang"), "doc_id", "text", declared_column="lang", host_column="source")
