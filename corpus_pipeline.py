@@ -1,6 +1,57 @@
-"""Placeholder until its stages exist."""
+"""From raw documents to packed training sequences: five stages, each one operator over all that the stage before kept."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from shelfwise.llm import exact_dedup, language_id, near_dedup, packing, pii
+from shelfwise.sources.ship import ship
+from shelfwise.sources.stage import stage
+
+#: Several stages fit models or follow links, which SQL cannot express; tests compare them with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is decided; the others, which have no letters or no likely language, go."""
+    ship(spark)
+    model = language_id.fit(docs, "text", "lang")
+    marked = language_id.identify(docs, model, "doc_id", "text", declared_column="lang", host_column="source", carry=["text", "lang", "source", "n_chars"])
+    return marked.where("accepted").select(docs.columns)
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    ship(spark)
+    return exact_dedup.drop_duplicates(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, the one with the smallest id, of each group of near duplicates."""
+    ship(spark)
+    kept = near_dedup.near_groups(docs).where("kept").select("doc_id")
+    return docs.join(kept, "doc_id", "left_semi")
+
+
+def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data in their texts replaced; n_chars follows the text."""
+    ship(spark)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in training sequences."""
+    ship(spark)
+    return packing.pack(docs)
+
+
+STAGES = [("language_id", languages), ("exact_dedup", exact), ("near_dedup", near), ("pii", private), ("packing", packed)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents table, each written and read again for the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, fn in STAGES[:-1]:
+        docs = stage(fn(spark, docs, sf_dir), f"pipeline_{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
