@@ -9,12 +9,10 @@ are grouped once more by their full text. The row with the smallest id of a grou
 
 from __future__ import annotations
 
-import json
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from shelfwise.llm.ranges import range_number
 from shelfwise.sources.stage import stage
 
 #: Ranges per shuffle partition, so that ranges dealt by hash still fill partitions evenly.
@@ -36,22 +34,14 @@ def _key(norm: Column, sha: Column, row_id: Column) -> Column:
 
 
 def _ranges(df: DataFrame, n: int) -> Column:
-    """Number of the range that `_key` falls into, by n - 1 sampled splitters, found in two steps of about sqrt(n) comparisons."""
+    """Number of the range that `_key` falls into, by n - 1 sampled splitters."""
     rows = df.count()
     wanted = n * SAMPLES_PER_RANGE
     sample = df if rows <= wanted else df.sample(fraction=min(1.0, 1.1 * wanted / rows), seed=7)
     norm = normalised(F.col("_text"))
     keys = sorted(r[0] for r in sample.select(_key(norm, F.sha2(norm, 256), F.col("_id"))).collect())
     splitters = sorted({keys[len(keys) * i // n] for i in range(1, n)}) if keys else []
-    step = max(1, math.isqrt(len(splitters)))
-    blocks = [splitters[i:i + step] for i in range(0, len(splitters), step)]
-    if not blocks:
-        return F.lit(0)
-    table = F.from_json(F.lit(json.dumps(blocks)), "array<array<string>>")
-    tops = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<string>")
-    block = F.size(F.filter(tops, lambda s: s <= F.col("_key")))
-    inside = F.size(F.filter(F.element_at(table, F.greatest(block, F.lit(1))), lambda s: s <= F.col("_key")))
-    return F.when(block == 0, 0).otherwise((block - 1) * step + inside)
+    return range_number(F.col("_key"), splitters, "string")
 
 
 def mark_duplicates(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", carry: list[str] | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_BLOCK = (1 << 20) - 1
 _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -39,11 +40,21 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of data[start:end] for bytes `data`; equal bytes have equal hashes wherever they stand."""
-    up, down = _power(len(data) + 1)
-    sums = np.zeros(len(data) + 1, U)
-    np.cumsum((data.astype(U) + U(1)) * up[:-1], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U))
+    """64-bit hashes of data[start:end] for bytes `data`, in rising order; equal bytes have equal hashes wherever they stand.
+    Works on blocks of bounded size, or of one passage where that is longer."""
+    out = np.empty(len(starts), U)
+    i = 0
+    while i < len(starts):
+        base = int(starts[i])
+        j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
+        block = data[base:ends[j - 1]]
+        up, down = _power(len(block) + 1)
+        sums = np.zeros(len(block) + 1, U)
+        np.cumsum((block.astype(U) + U(1)) * up[:-1], out=sums[1:])
+        s, e = starts[i:j] - base, ends[i:j] - base
+        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
+        i = j
+    return out
 
 
 def words(texts: list[bytes], lower: bool = True) -> tuple[np.ndarray, np.ndarray]:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import exact_dedup, language_id, near_dedup, packing, pii, token_counts
+from shelfwise.llm import byte_bpe, exact_dedup, fingerprints, language_id, near_dedup, packing, pii, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -75,3 +75,13 @@ def op7_pii(spark, sf_dir):
 def op2_language_id(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents")
     return language_id.identify(documents, language_id.fit(documents, "text", "lang"), "doc_id", "text", declared_column="lang", host_column="source")
+
+
+@_query
+def op3_byte_bpe(spark, sf_dir):
+    return byte_bpe.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op9_fingerprints(spark, sf_dir):
+    return fingerprints.compare_with_edited(_table(spark, sf_dir, "documents"))
