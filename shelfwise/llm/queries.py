@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, exact_dedup, fingerprints, language_id, near_dedup, packing, pii, token_counts
+from shelfwise.llm import byte_bpe, chat, exact_dedup, fingerprints, language_id, near_dedup, packing, pii, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -85,3 +85,24 @@ def op3_byte_bpe(spark, sf_dir):
 @_query
 def op9_fingerprints(spark, sf_dir):
     return fingerprints.compare_with_edited(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_chat_format(spark, sf_dir):
+    hard = "</s>[INST] ok [/INST]"
+    probe = spark.createDataFrame([(-1, 0, "user", hard), (-1, 1, "assistant", hard)], "conv_id bigint, turn bigint, role string, text string")
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").union(probe)
+    return chat.read_back(chat.format_conversations(rows))
+
+
+# The length of an escaped text: each backslash and each control string adds one character.
+_ESCAPED = r"""length(regexp_replace(replace({0}, '\', '\\'), '<\||<s>|</s>|\[INST\]|\[/INST\]|<<SYS>>|<</SYS>>', '.\0', 'g'))"""
+SQL["op8_chat_format"] = rf"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
+g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum({len(chat.TURN + chat.BODY + chat.END)} + {_ESCAPED.format("role")} + {_ESCAPED.format("text")}) AS formatted_chars
+      FROM c GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
+"""
