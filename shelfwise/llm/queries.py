@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, chat, exact_dedup, fingerprints, language_id, near_dedup, packing, pii, token_counts
+from shelfwise.llm import byte_bpe, chat, exact_dedup, fingerprints, language_id, near_dedup, packing, pii, suffix_tree, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -106,3 +106,8 @@ g AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text ||
       FROM c GROUP BY conv_id)
 SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
+
+
+@_query
+def op5_lm_scoring(spark, sf_dir):
+    return suffix_tree.score(_table(spark, sf_dir, "documents"))
