@@ -105,7 +105,11 @@ class PrefixCounts:
         """Code points of the longest run of whole pre-tokens within `budget` tokens."""
         ends, tokens = self.table(text)
         k = bisect_right(tokens, budget)
-        return len(text) if k == len(tokens) else ends[k - 1] if k else 0
+        if k == len(tokens):
+            return len(text)
+        while k and ends[k - 1] == ends[k]:  # pre-tokens that come from one character go together
+            k -= 1
+        return ends[k - 1] if k else 0
 
 
 @lru_cache(maxsize=4)
