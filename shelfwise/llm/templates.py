@@ -236,16 +236,22 @@ def _folded(nodes: list[tuple]) -> list[tuple]:
             if not arms:
                 continue
             if arms[0][0][0] == "const":
-                out += arms[0][1]
+                for inner in arms[0][1]:
+                    _append(out, inner)
                 continue
             node = ("if", arms)
-        if node[0] == "text" and out and out[-1][0] == "text":
-            out[-1] = ("text", out[-1][1] + node[1])
-        elif node != ("text", ""):
-            out.append(node)
+        _append(out, node)
     return out
 
 
+def _append(out: list[tuple], node: tuple):
+    """Adds a node; text after text becomes one node."""
+    if node[0] == "text" and out and out[-1][0] == "text":
+        out[-1] = ("text", out[-1][1] + node[1])
+    elif node != ("text", ""):
+        out.append(node)
+
+
 def _compiled(nodes: list[tuple], filters, learn: bool) -> Callable[[dict], Iterator[Piece]]:
     steps = [_step(node, filters, learn) for node in nodes]
 
