@@ -18,7 +18,7 @@ def decay(event_time: Column, reference_time: Column, half_life_days: float) ->
     """0.5 ** (age / half life). An event later than the reference fails the job;
     equal times weigh 1."""
     if half_life_days <= 0:
-        raise ValueError(f"half_life_days must be positive, got {half_life_days!r}")
+        raise ValueError(f"weights cannot halve every {half_life_days!r} days")
     age = age_days(event_time, reference_time)
     message = F.concat(
         F.lit("event at "), event_time.cast("string"),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,13 @@ def scale(vector: Column, factor: Column) -> Column:
     return F.transform(vector, lambda x: x * factor)
 
 
+def checked(df: DataFrame, column: str, dim: int | None = None) -> DataFrame:
+    """`df`, whose job fails where a vector has another length than `dim` or a value that is no finite number. NULL passes."""
+    good = is_finite(F.col(column)) if dim is None else is_finite(F.col(column)) & (F.size(column) == dim)
+    what = "a vector holds a value that is not finite" if dim is None else f"a vector holds a value that is not finite, or does not have {dim} values"
+    return df.withColumn(column, F.when(F.col(column).isNull() | good, F.col(column)).otherwise(F.raise_error(F.lit(what)).cast(df.schema[column].dataType)))
+
+
 def is_finite(vector: Column) -> Column:
     bad = F.exists(vector, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return ~F.coalesce(bad, F.lit(True))

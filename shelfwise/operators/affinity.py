@@ -68,7 +68,7 @@ def as_map(affinity: DataFrame, alias: str) -> DataFrame:
 def signal_vectors(hist: DataFrame, embeddings: DataFrame, params: FeatureParams, dim: int) -> DataFrame:
     """Per (example, signal): the decay-weighted mean vector, and base weight x mean decay as its blend weight."""
     # the floor keeps a plain mean where every decay factor has underflowed
-    rows = hist.join(embeddings, "product_id").withColumn("fw", F.greatest(F.col("w"), F.col("n") * F.lit(1e-300)))
+    rows = hist.join(vectors.checked(embeddings, "embedding", dim), "product_id").withColumn("fw", F.greatest(F.col("w"), F.col("n") * F.lit(1e-300)))
     agg = rows.groupBy("example_id", "signal").agg(
         F.sum("n").alias("n"), F.sum("w").alias("w"), F.sum("fw").alias("fw"), vectors.weighted_sum("embedding", "fw", dim).alias("wv"))
     return blend_components(agg, params)

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions import text as text_fn
+from shelfwise.functions import vectors
 from shelfwise.operators import affinity
 from shelfwise.params import FeatureParams
 
@@ -170,7 +171,7 @@ def signal_components(counts: DataFrame, held: DataFrame, ex: DataFrame, usable:
                       text_vectors: DataFrame | None = None) -> DataFrame:
     """Mean vector and blend weight per (example, signal). With `text_vectors` (text, embedding) the unresolved
     searches and chatbot summaries take part too, under the same exclusions."""
-    rows = counts.join(embeddings, "product_id").select("user_id", "signal", "product_id", F.col("n").cast("double").alias("n"), "embedding")
+    rows = counts.join(vectors.checked(embeddings, "embedding", dim), "product_id").select("user_id", "signal", "product_id", F.col("n").cast("double").alias("n"), "embedding")
     kept = rows.join(held, ["user_id", "product_id"], "left_anti").drop("product_id")
     own = rows.where("signal <> 'chatbot'").select("user_id", "signal", "product_id", "n", "embedding")
     if text_vectors is not None:

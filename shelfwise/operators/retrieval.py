@@ -18,10 +18,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwise.functions.vectors import checked
 from shelfwise.params import RetrievalParams
 
 _SUB = 1 << 20  # blocks of one cell are numbered cell * _SUB + part
-_MIN_ITEMS_FOR_CELLS = 16  # smaller catalogs are searched exactly
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -93,14 +93,20 @@ def _merge(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("rank", F.row_number().over(best).cast("bigint")).where(F.col("rank") <= k)
 
 
+def _sides(queries: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides without rows that have no vector. A vector with a value that is not finite fails the job: in a partial
+    sort it would displace the best items of every query."""
+    return (checked(queries.where("vector IS NOT NULL").select("query_id", "vector"), "vector"),
+            checked(items.where("vector IS NOT NULL").select("item_id", "vector"), "vector"))
+
+
 def exact_topk(queries: DataFrame, items: DataFrame, k: int, params: RetrievalParams = RetrievalParams(), cosine: bool = True,
                allowed: DataFrame | None = None) -> DataFrame:
     """The k best items per query (query_id, item_id, score, rank) by cosine or inner product; k is capped by
     the catalog by itself. `allowed` (item_id) restricts the items before the search."""
     if k <= 0:
-        raise ValueError(f"k must be positive, got {k}")
-    queries = queries.where("vector IS NOT NULL").select("query_id", "vector")
-    items = items.where("vector IS NOT NULL").select("item_id", "vector")
+        raise ValueError(f"a search for {k} items finds nothing")
+    queries, items = _sides(queries, items)
     if allowed is not None:
         items = items.join(allowed, "item_id", "left_semi")
     blocks = max(1, math.ceil(items.count() / params.item_block_rows))
@@ -111,31 +117,20 @@ def exact_topk(queries: DataFrame, items: DataFrame, k: int, params: RetrievalPa
     return hits if blocks == 1 else _merge(hits, k)
 
 
-def leaf_count(catalog_size: int, params: RetrievalParams) -> int:
-    raw = max(1, round(params.leaves_multiplier * math.sqrt(catalog_size)))
-    dense = max(1, catalog_size // params.min_points_per_leaf)
-    return min(catalog_size, params.max_leaves, raw, dense)
-
-
 def cell_topk(queries: DataFrame, items: DataFrame, k: int, params: RetrievalParams = RetrievalParams(), seed: int = 42,
               allowed: DataFrame | None = None) -> DataFrame:
-    """Approximate search: items are clustered into cells, a query visits the nearest fraction of cells and is
-    scored exactly inside them. May return fewer than k."""
-    queries = queries.where("vector IS NOT NULL").select("query_id", "vector")
-    items = items.where("vector IS NOT NULL").select("item_id", "vector")
+    """Approximate search: items are clustered into about sqrt(items) cells, a query visits the `probed_cells` nearest to it
+    and is scored exactly inside them. May return fewer than k."""
+    queries, items = _sides(queries, items)
     if allowed is not None:
         items = items.join(allowed, "item_id", "left_semi")
-    size = items.count()
-    if size < _MIN_ITEMS_FOR_CELLS:
-        return exact_topk(queries, items, k, params)
-    leaves = leaf_count(size, params)
-    visit = max(1, round(leaves * params.leaves_to_search_fraction))
+    cells = max(1, math.isqrt(items.count()))
     units = items.withColumn("features", array_to_vector(F.col("vector").cast("array<double>")))
-    every = max(1, size // params.training_sample_size)
-    sample = units if every == 1 else units.where(F.pmod(F.xxhash64("item_id"), F.lit(every)) == 0)
-    model = KMeans(k=leaves, seed=seed, maxIter=10, initMode="k-means||", distanceMeasure="cosine").fit(sample.select("features"))
-    centers = _unit(np.array(model.clusterCenters(), dtype=np.float64))  # at most max_leaves rows
-    visit = min(visit, len(centers))
+    if cells == 1:  # k-means needs two clusters
+        return exact_topk(queries, items, k, params)
+    model = KMeans(k=cells, seed=seed, maxIter=10, initMode="k-means||", distanceMeasure="cosine").fit(units.select("features"))
+    centers = _unit(np.array(model.clusterCenters(), dtype=np.float64))
+    visit = min(params.probed_cells, len(centers))
     placed = model.transform(units).select("item_id", "vector", F.col("prediction").cast("bigint").alias("cell"))
 
     def nearest_cells(batches):
@@ -145,9 +140,7 @@ def cell_topk(queries: DataFrame, items: DataFrame, k: int, params: RetrievalPar
             cells = pa.ListArray.from_arrays(np.arange(0, order.size + 1, visit, dtype=np.int32), pa.array(order.reshape(-1).astype(np.int64)))
             yield pa.RecordBatch.from_arrays([*batch.columns, cells], names=[*batch.schema.names, "cells"])
 
-    # one row per cell, at most max_leaves of them
     parts = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / F.lit(params.item_block_rows)).cast("bigint").alias("parts"))
-    parts = F.broadcast(parts)
     placed = placed.join(parts, "cell").withColumn("block", F.col("cell") * _SUB + F.pmod(F.xxhash64("item_id"), F.col("parts")))
     vec_type = queries.schema["vector"].dataType.simpleString()
     routed = queries.mapInArrow(nearest_cells, f"query_id bigint, vector {vec_type}, cells array<bigint>")
@@ -158,11 +151,11 @@ def cell_topk(queries: DataFrame, items: DataFrame, k: int, params: RetrievalPar
 
 
 def pool_size(params: RetrievalParams, limit: int, catalog_size: int) -> int:
-    if limit <= 0:
-        raise ValueError(f"limit must be positive, got {limit}")
-    if catalog_size <= 0:
-        raise ValueError(f"catalog_size must be positive, got {catalog_size}")
-    return min(max(limit * params.candidate_pool_multiplier, params.min_candidate_pool), catalog_size)
+    """Candidates to retrieve for a list of `limit`: a multiple of it and never few, as far as the catalog reaches."""
+    if min(limit, catalog_size) < 1:
+        raise ValueError(f"no candidates for a list of {limit} from {catalog_size} products")
+    wanted = max(params.min_candidate_pool, params.candidate_pool_multiplier * limit)
+    return min(wanted, catalog_size)
 
 
 def ranked_rows(lists: DataFrame) -> DataFrame:

@@ -50,11 +50,7 @@ class FeatureParams:
 class RetrievalParams:
     candidate_pool_multiplier: int = 5
     min_candidate_pool: int = 50
-    leaves_multiplier: float = 2.0
-    min_points_per_leaf: int = 20
-    max_leaves: int = 2000
-    leaves_to_search_fraction: float = 0.3
-    training_sample_size: int = 100_000
+    probed_cells: int = 16  # of the approximate search, for each query
     item_block_rows: int = 16_384  # rows of one in-task item matrix
     query_chunk_rows: int = 8_192  # queries multiplied against it at a time
 

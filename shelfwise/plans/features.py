@@ -67,9 +67,9 @@ def latest_time(events: DataFrame) -> Column:
 
 
 def live_user_features(t: Tables, cat: Catalog, params: Params = DEFAULTS, as_of: Column | None = None,
-                       events: DataFrame | None = None) -> DataFrame:
-    """Features of every user at `as_of` (default: the log's last timestamp)."""
+                       events: DataFrame | None = None, embeddings: DataFrame | None = None) -> DataFrame:
+    """Features of every user at `as_of` (default: the log's last timestamp), from `events` and `embeddings` (default: all)."""
     log = events if events is not None else t.events
     reference = as_of if as_of is not None else latest_time(log)
     hist = stage(history.live_history(history.signals(log), params.features.recency, reference), "live_history")
-    return user_features(hist, live_examples(cat.users), cat, t.embeddings, params.features)
+    return user_features(hist, live_examples(cat.users), cat, embeddings if embeddings is not None else t.embeddings, params.features)

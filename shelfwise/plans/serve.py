@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.operators import candidates as cand
@@ -87,8 +88,8 @@ def recommend(features: DataFrame, cat: Catalog, embeddings: DataFrame, params:
               scorer: Callable[[DataFrame], DataFrame] | None = None, final_catalog: DataFrame | None = None) -> Recommendations:
     """Tier by history, candidates per tier, diversity re-ranking, final eligibility check, top N.
 
-    `features` (one row per example) should be staged. Users without history that share their categories get
-    one common list, built and re-ranked once and joined back at the end."""
+    `features` (one row per example) should be staged. Users without history, and those with a long one for whom nothing
+    is retrieved, get one common list per pair of categories, built and re-ranked once and joined back at the end."""
     top_n = top_n or params.top_n
     eligible = cat.features.where("eligible")
     n_eligible, n_catalog = eligible.count(), cat.features.count()
@@ -112,17 +113,22 @@ def recommend(features: DataFrame, cat: Catalog, embeddings: DataFrame, params:
     sparse_users = tiers.where("tier = 'sparse'")
     sparse = _sparse_pool(sparse_users, own.join(sparse_users, "example_id", "left_semi"), *lists, global_cat_rank, pool, params).select(*_LISTS)
 
-    idle = feats.where("tier = 'no_history'")
-    group_id = F.xxhash64(F.coalesce("preferred_category", F.lit("\0")), F.coalesce("top_category", F.lit("\0")))
-    idle = idle.select("example_id", group_id.alias("group_id"), "preferred_category", "top_category")
-    groups = idle.select("group_id", "preferred_category", "top_category").distinct()
+    # Users with a long history but nothing retrieved (no vector, or none near it) get the shared lists too.
+    unanswered = feats.where("tier = 'strong'").join(own.select("example_id").distinct(), "example_id", "left_anti")
+    idle = feats.where("tier = 'no_history'").unionByName(unanswered).select("example_id", "preferred_category", "top_category")
+    # at most (categories + 1)^2 groups, numbered in order; NULL categories are values of their own
+    kinds = idle.select("preferred_category", "top_category").distinct()
+    groups = stage(kinds.withColumn("group_id", F.row_number().over(W.orderBy("preferred_category", "top_category")).cast("bigint")), "groups")
+    named = F.broadcast(groups.toDF("_preferred", "_top", "group_id"))
+    idle = idle.join(named, F.col("preferred_category").eqNullSafe(F.col("_preferred")) & F.col("top_category").eqNullSafe(F.col("_top"))).select("example_id", "group_id")
+    groups = groups.select("group_id", "preferred_category", "top_category")
     fallback = _fallback_pools(groups, *lists, pool, params)
 
     attrs = cat.features.select("product_id", "category_name", "brand")
     own_pool = strong.unionByName(sparse)
     ranked_own = rerank.rerank(own_pool.join(attrs, "product_id", "left"), "example_id", params.reranking)
     ranked_shared = rerank.rerank(fallback.join(attrs, "product_id", "left"), "group_id", params.reranking)
-    members = idle.select("example_id", "group_id")
+    members = idle
     current = final_catalog if final_catalog is not None else cat.features
     checked_own = _final_check(ranked_own, "example_id", current, params, top_n)
     checked_shared = _final_check(ranked_shared, "group_id", current, params, top_n)
@@ -143,7 +149,6 @@ def recommend(features: DataFrame, cat: Catalog, embeddings: DataFrame, params:
 
 def _final_check(ranked: DataFrame, key: str, current: DataFrame, params: Params, top_n: int) -> DataFrame:
     """The same rules against the current catalog state; the surviving rows are renumbered."""
-    from pyspark.sql import Window as W
     ok = eligibility.apply_rules(ranked, "product_id", current, params.eligibility).where("eligible").drop("reasons", "eligible")
     return ok.withColumn("final_rank", F.row_number().over(W.partitionBy(key).orderBy("rank")).cast("bigint"))
 

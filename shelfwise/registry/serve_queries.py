@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from shelfwise.operators import candidates as cand
@@ -14,6 +16,9 @@ from shelfwise.registry.temporal_queries import KS, long_metrics, metric_sql
 
 P = DEFAULTS
 POOL = 50
+#: Signals of a long history in the queries that look at all tiers.
+MIXED = 70
+MIXED_PARAMS = replace(P, cold_start=replace(P.cold_start, strong_history_min_signals=MIXED))
 
 # --- check SQL of the serving plan -----------------------------------------------------------------
 CTES["x_elig"] = """
@@ -72,10 +77,10 @@ def final_sql(lists: str, steps: int) -> str:
     WHERE step = least(len(ids), {steps}))"""
 
 
-def tiered(counts_cte: str, cats: str, name: str):
+def tiered(counts_cte: str, cats: str, name: str, strong: int = 5):
     CTES[name] = f"""
   SELECT c.example_id, c.user_id, u.preferred_category, t.name AS top_category,
-         CASE WHEN total_engagement_events >= 5 THEN 'strong' WHEN total_engagement_events >= 1 THEN 'sparse' ELSE 'no_history' END AS tier
+         CASE WHEN total_engagement_events >= {strong} THEN 'strong' WHEN total_engagement_events >= 1 THEN 'sparse' ELSE 'no_history' END AS tier
   FROM {counts_cte} c LEFT JOIN x_users u USING (user_id) LEFT JOIN (SELECT * FROM {cats} WHERE rank = 1) t ON t.example_id = c.example_id"""
 
 
@@ -101,7 +106,13 @@ CTES["x_caseelig"] = """
 tiered("x_livecounts", "x_livecat", "x_livetier")
 tiered("x_earlycounts", "x_earlycat", "x_earlytier")
 tiered("x_casecounts", "x_casecat", "x_casetier")
-for _feats, _vecs, _elig, _steps in (("x_livetier", "x_livevecs", "x_elig", 10), ("x_earlytier", "x_earlyvecs", "x_earlyelig", 10), ("x_casetier", "x_casevecs", "x_caseelig", 10)):
+# with a higher limit for a long history many users of the whole log have a short one
+tiered("x_livecounts", "x_livecat", "x_mixed", MIXED)
+# no product of the log has a vector: a long history then gets the lists of users without history
+CTES["x_bare"] = "SELECT * REPLACE (CASE WHEN tier = 'strong' THEN 'no_history' ELSE tier END AS tier) FROM x_livetier"
+CTES["x_novecs"] = "SELECT example_id, vec FROM x_livevecs WHERE false"
+for _feats, _vecs, _elig, _steps in (("x_livetier", "x_livevecs", "x_elig", 10), ("x_earlytier", "x_earlyvecs", "x_earlyelig", 10), ("x_casetier", "x_casevecs", "x_caseelig", 10),
+                                      ("x_bare", "x_novecs", "x_elig", 10), ("x_mixed", "x_livevecs", "x_elig", 10)):
     CTES[f"x_own_{_feats}"] = own_sql(_feats, _vecs, _elig)
     CTES[f"x_pool_{_feats}"] = lists_sql(_feats, _vecs, _elig)
     CTES[f"x_greedy_x_pool_{_feats}"] = greedy_sql(f"x_pool_{_feats}", _steps)
@@ -132,11 +143,11 @@ def flat(items):
     return items.select(F.col("example_id").alias("user_id"), "rank", "product_id", r("score").alias("score"), "source")
 
 
-@query("history_tiers", "B6 D28", "SELECT tier, count(*) AS users FROM x_earlytier GROUP BY 1")
+@query("history_tiers", "B6 D28", "SELECT tier, count(*) AS users FROM x_mixed GROUP BY 1")
 def _(t):
-    hist = history.live_history(history.signals(early(t)), P.features.recency)
+    hist = history.live_history(history.signals(t.events), P.features.recency, features.latest_time(t.events))
     n = history.engagement_counts(hist, features.live_examples(catalog.users(t)))
-    return n.groupBy(cand.history_tier(F.col("total_engagement_events"), P.cold_start).alias("tier")).agg(F.count(F.lit(1)).alias("users"))
+    return n.groupBy(cand.history_tier(F.col("total_engagement_events"), MIXED_PARAMS.cold_start).alias("tier")).agg(F.count(F.lit(1)).alias("users"))
 
 
 @query("candidate_pool_size", "B21", "SELECT n, least(greatest(n * 5, 50), (SELECT count(*) FROM x_pf WHERE eligible))::BIGINT AS pool FROM (SELECT unnest([5, 10, 20, 50, 1000])::BIGINT AS n)")
@@ -164,12 +175,14 @@ def _(t):
 
 
 @query("blended_candidates", "F6 G1 E6 E10", """
-  SELECT example_id AS user_id, pos AS position, product_id, round(score, 6) AS score, source FROM x_pool_x_earlytier
-  WHERE example_id IN (SELECT example_id FROM x_earlytier WHERE tier = 'sparse')""")
+  SELECT example_id AS user_id, pos AS position, product_id, round(score, 6) AS score, source FROM x_pool_x_mixed
+  WHERE example_id IN (SELECT example_id FROM x_mixed WHERE tier = 'sparse')""")
 def _(t):
-    _, feats, rec = early_recommendations(t)
-    sparse = feats.where(cand.history_tier(F.col("total_engagement_events"), P.cold_start) == "sparse").select("example_id")
-    return rec.pool.join(sparse, "example_id", "left_semi").select(F.col("example_id").alias("user_id"), "position", "product_id", r("score").alias("score"), "source")
+    cat = features.build_catalog(t)
+    feats = evaluate.stage(features.live_user_features(t, cat), "user_features")
+    pool = serve.recommend(feats, cat, t.embeddings, MIXED_PARAMS).pool
+    sparse = feats.where(cand.history_tier(F.col("total_engagement_events"), MIXED_PARAMS.cold_start) == "sparse").select("example_id")
+    return pool.join(sparse, "example_id", "left_semi").select(F.col("example_id").alias("user_id"), "position", "product_id", r("score").alias("score"), "source")
 
 
 @query("waterfall_candidates", "F7 G1", """
@@ -206,6 +219,14 @@ def recommendations(t):
     return flat(live_recommendations(t)[2].items)
 
 
+@query("recommendations_without_vectors", "J3 F7", "SELECT example_id AS user_id, rank, product_id, round(score, 6) AS score, source FROM x_final_x_bare")
+def _(t):
+    cat = features.build_catalog(t)
+    unseen = t.embeddings.join(t.events.select("product_id").distinct(), "product_id", "left_anti")
+    feats = evaluate.stage(features.live_user_features(t, cat, embeddings=unseen), "user_features")
+    return flat(serve.recommend(feats, cat, unseen, P).items)
+
+
 @query("recommendations_at_time", "J4 J3", "SELECT example_id AS user_id, rank, product_id, round(score, 6) AS score, source FROM x_final_x_earlytier")
 def _(t):
     return flat(early_recommendations(t)[2].items)

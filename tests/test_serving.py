@@ -81,9 +81,21 @@ def test_cell_search_recall(spark):
     assert near.where("rank = 1 AND query_id = item_id").count() == 50
 
 
-def test_leaf_rule_and_pool_size():
+def test_vectors_that_are_not_finite_fail_the_search(spark):
+    good = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(5)], "query_id bigint, vector array<double>")
+    for bad in ([float("nan"), 1.0], [1.0, float("inf")], [None, 1.0]):
+        items = good.withColumnRenamed("query_id", "item_id").union(spark.createDataFrame([(9, bad)], "item_id bigint, vector array<double>"))
+        with pytest.raises(Exception, match="not finite"):
+            retrieval.exact_topk(good, items, 2).collect()
+
+
+def test_cell_search_of_few_items(spark):
+    items = spark.createDataFrame([(i, [1.0, float(i)]) for i in range(3)], "item_id bigint, vector array<double>")
+    assert retrieval.cell_topk(items.withColumnRenamed("item_id", "query_id"), items, 2).count() == 6
+
+
+def test_pool_size():
     p = RetrievalParams()
-    assert retrieval.leaf_count(500, p) == 25 and retrieval.leaf_count(10_000_000, p) == 2000
     assert [retrieval.pool_size(p, n, c) for n, c in ((10, 1000), (20, 1000), (10, 30))] == [50, 100, 30]
     with pytest.raises(ValueError):
         retrieval.pool_size(p, 0, 10)
