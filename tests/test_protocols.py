@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.operators import history, loo, ranks, temporal
-from shelfwise.operators.running import totals_before
+from shelfwise.operators.running import totals_before, vector_totals_before
 from shelfwise.operators.skew import salted_join
 
 EVENTS = "event_id bigint, user_id bigint, product_id bigint, action_type string, action_time timestamp_ntz"
@@ -92,6 +92,28 @@ def test_totals_before_equals_brute_force(spark):
         assert got[i] == (sum(e[3] for e in past), max((e[4] for e in past), default=None))
 
 
+def test_vector_totals_before_equal_brute_force(spark):
+    rng = random.Random(4)
+    ev = [(rng.choice([1, 1, 1, 2]), rng.choice("ab"), day(rng.randrange(0, 400) / 40), float(rng.randrange(1, 9)), [float(rng.randrange(9)) for _ in range(3)]) for _ in range(300)]
+    pr = [(i, rng.choice([1, 2, 3]), rng.choice("ab"), day(rng.randrange(0, 400) / 40)) for i in range(80)]
+    events = spark.createDataFrame(ev, "u bigint, s string, ts timestamp_ntz, x double, v array<double>")
+    probes = spark.createDataFrame(pr, "probe_id bigint, u bigint, s string, ts timestamp_ntz")
+    got = {r.probe_id: (r.x, list(r.v)) for r in vector_totals_before(events, probes, ["u", "s"], ["x"], "v", 3, cell_seconds=7200).collect()}
+    for i, u, s, ts in pr:
+        past = [e for e in ev if e[0] == u and e[1] == s and e[2] < ts]
+        assert got[i] == (sum(e[3] for e in past), [sum(e[4][k] for e in past) for k in range(3)])
+
+
+def test_groups_that_span_batches():
+    import pyarrow as pa
+    from shelfwise.operators.running import _sums_before
+    rows = [("a", 0, None, 1.0, [1.0]), ("a", 0, 7, None, None), ("a", 0, None, 2.0, [5.0]), ("a", 0, 8, None, None), ("a", 1, None, 4.0, [1.0]), ("b", 1, 9, None, None)]
+    names, kinds = ["k", "cell", "probe_id", "x", "v"], [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.float64())]
+    batches = [pa.RecordBatch.from_arrays([pa.array([r[i]], t) for i, t in enumerate(kinds)], names) for r in rows]
+    got = [tuple(r.values()) for b in _sums_before(iter(batches), 2, 1, 1, False) for r in b.to_pylist()]
+    assert got == [("a", 0, 7, 1.0, [1.0]), ("a", 0, 8, 3.0, [6.0]), ("a", 0, None, 3.0, [6.0]), ("a", 1, None, 4.0, [1.0]), ("b", 1, 9, 0.0, [0.0]), ("b", 1, None, 0.0, [0.0])]
+
+
 def test_popularity_rank_equals_global_sort(spark):
     rng = random.Random(5)
     rows = [(i, rng.choice("xyz"), rng.choice([0, 0, 0, 1, 2]), rng.choice([0, 0, 3])) for i in range(500)]
