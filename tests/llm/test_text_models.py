@@ -45,7 +45,9 @@ def test_base_spans_match_the_patterns(spark):
     rng = random.Random(8)
     parts = ["a.b@c.de", "x@y", "@", "a@b.c_d@e.f", "1.2.3.4", "0300.1.1.001", "256.1.1.1", "4111 1111-1111 1111", "4111111111111112", "+1 (555) 010-9999", "+49.30.1234567", "+1", " ", ", ", "é", "\n", "😀", "-", "12", "007"]
     rows = [(i, "".join(rng.choice(parts) for _ in range(rng.randrange(14)))) for i in range(500)] + [(1000 + i, t) for i, t in TEXTS if i is not None]
-    got = joined(pii.find(table(spark, rows), carry=["text"]), "doc_id", "text", "base_spans", "spans", "n_email", "n_ip", "n_card", "n_phone")
+    found = pii.find(table(spark, rows), carry=["text"])
+    assert not re.search("Python|Pandas|Arrow|Exchange", found._jdf.queryExecution().toString())
+    got = joined(found, "doc_id", "text", "base_spans", "spans", "n_email", "n_ip", "n_card", "n_phone")
     assert len(got) == len(rows)
     for _, text, base, spans, *counts in got:
         assert base == base_spans(text)
@@ -73,10 +75,6 @@ def test_redaction(spark):
     assert pii.redact(table(spark, [])).count() == 0
 
 
-def test_pii_is_native(spark):
-    assert not re.search("Python|Pandas|Arrow|Exchange", pii.find(table(spark))._jdf.queryExecution().toString())
-
-
 def test_running_sums_over_blocks(spark):
     n = [0, 1, 255, 256, 257, 3000]
     df = spark.createDataFrame([(list(range(k)),) for k in n], "x array<int>").select(pii._running(F.col("x")).alias("s"))
@@ -152,14 +150,13 @@ def brute_base(rows):
     return sorted(((str(i), held(i), len(ws), sum(c[w] > 0 for w in ws), n, sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)) for i, ws in tokens), key=str)
 
 
-@pytest.mark.parametrize("rows", [TEXTS, [(i, f"a b {'c' * (i % 5)} a") for i in range(200)], [(6, "held out alone")]], ids=["edge cases", "many", "no training"])
+@pytest.mark.parametrize("rows", [TEXTS, [(6, "held out alone")], []], ids=["edge cases", "no training", "empty"])
 def test_base_scores(spark, rows):
     got = suffix_tree.score(table(spark, rows)).collect()
     got = sorted(((str(r["doc_id"]), r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"], r["base_score"]) for r in got), key=str)
     want = brute_base(rows)
     assert [g[:5] for g in got] == [w[:5] for w in want]
     assert all(abs(g[5] - w[5]) <= 1e-9 * max(1, abs(w[5])) for g, w in zip(got, want))
-    assert suffix_tree.score(table(spark, [])).count() == 0
 
 
 def test_rare_words_are_joined(spark, monkeypatch):
