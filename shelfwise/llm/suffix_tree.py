@@ -72,10 +72,12 @@ def grams(rows: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     keys, n = np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts])
+    if not len(keys):
+        return keys, n
     order = np.argsort(keys, kind="stable")
     keys, n = keys[order], n[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-    return keys[first], np.add.reduceat(n, first) if len(n) else n
+    return keys[first], np.add.reduceat(n, first)
 
 
 class _Counter:
