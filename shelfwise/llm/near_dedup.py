@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +34,8 @@ DEPTH = 6
 BASE = 2
 #: Groups that a document is compared with on either side, per tree and round.
 NEIGHBOURS = 8
+#: Bits of the largest id filter that is sent to the tasks (32 MB); ids beyond an eighth of it are found by a join instead.
+FILTER_BITS = 1 << 28
 _ROWS = 2048
 _CANDIDATES = "a bigint, b bigint, tree int, key binary, id bigint, n bigint, comp bigint"
 
@@ -84,6 +87,39 @@ def _regions(batches):
         yield batch.filter(pa.array(keep))
 
 
+def _filter_slots(ids: np.ndarray, bits: int) -> np.ndarray:
+    return (hashing.mix(ids.astype(np.int64).view(np.uint64)) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def _region_sets(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
+    """(id, shingles) of the documents in `ids`, and of a few others. Texts don't move: each task keeps those whose id is in
+    a bitmap of the ids. Only where the ids are too many for a bitmap of bounded size are the texts joined."""
+    wanted = ids.count()
+    bits = 1 << max(10, (16 * wanted).bit_length())
+    if 8 * wanted > FILTER_BITS:
+        return per_batch(docs.join(ids, "id", "left_semi"), {"id": "id", "text": "text"}, lambda batch: _set_columns(batch, width), "id bigint, shingles array<bigint>")
+    bits = min(bits, FILTER_BITS)
+
+    def slots(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_filter_slots(np.asarray(batch.column(0)), bits))], ["slot"])
+
+    words = ids.mapInArrow(slots, "slot bigint").groupBy(F.shiftright("slot", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot & 31 as int))")).alias("bits")).toArrow()
+    bitmap = np.zeros(bits // 32, np.uint32)
+    bitmap[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches):
+        for batch in slices(batches):
+            batch = batch.filter(pa.compute.is_valid(batch.column("id")))
+            slot = _filter_slots(np.asarray(batch.column("id")), bits)
+            batch = batch.filter(pa.array((sent.value[slot >> 5] >> (slot & 31).astype(np.uint32)) & np.uint32(1) == 1))
+            out = _set_columns(batch, width)
+            yield pa.RecordBatch.from_arrays(list(out.values()), list(out))
+
+    return docs.mapInArrow(run, "id bigint, shingles array<bigint>")
+
+
 def _set_columns(batch, width):
     sets = [s.view(np.int64) for s in _sets(texts(batch), width)]
     return {"id": batch.column("id"), "shingles": pa.array(sets, pa.list_(pa.int64()))}
@@ -162,9 +198,7 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     parts = F.array(*[F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH) for t in range(TREES)])
     forest = nodes.select("id", "n", F.posexplode(parts).alias("tree", "key")).select("tree", "key", "id", "n")
     regions = stage(_ordered(forest).mapInArrow(_regions, "tree int, key binary, id bigint, n bigint"), "regions")
-    in_region = regions.select("id").distinct()
-    source = df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")).join(in_region, "id", "left_semi")
-    sets = stage(per_batch(source, {"id": "id", "text": "text"}, lambda batch: _set_columns(batch, width), "id bigint, shingles array<bigint>"), "shingle_sets")
+    sets = stage(_region_sets(df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")), regions.select("id").distinct(), width), "shingle_sets")
     # Rows that share an id but not a set tie their nodes together.
     owners = known.select("id", "digest").join(nodes.select("digest", F.col("id").alias("node")), "digest").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
     groups, tried, reach = None, None, 1
