@@ -194,7 +194,8 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     and stays. An empty table gives no rows. Ids are integers; other columns are not read."""
     per_row = stage(sketches(df, id_column, text_column, width), "sketches")
     known = per_row.where("id IS NOT NULL AND digest IS NOT NULL")
-    nodes = known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"))
+    # staged, so that Spark can split the join of a very common set with it
+    nodes = stage(known.groupBy("digest").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature")), "nodes")
     parts = F.array(*[F.substring("signature", 4 * DEPTH * t + 1, 4 * DEPTH) for t in range(TREES)])
     forest = nodes.select("id", "n", F.posexplode(parts).alias("tree", "key")).select("tree", "key", "id", "n")
     regions = stage(_ordered(forest).mapInArrow(_regions, "tree int, key binary, id bigint, n bigint"), "regions")
