@@ -39,15 +39,18 @@ def _stars(batches):
 def components(links: DataFrame) -> DataFrame:
     """(node, component) for every node of `links` (first two columns) but those that are the smallest of their component."""
     edges = stage(links.toDF("u", "v").where("u IS NOT NULL AND v IS NOT NULL").mapInArrow(_stars, EDGES), "stars")
-    seen = None
-    while True:
+    while not _settled(edges):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         down = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         nearest = down.groupBy("u").agg(F.min("v").alias("m"))
         moved = down.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(moved.union(nearest.select("u", F.col("m").alias("v"))).distinct(), "stars")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == seen:
-            return edges.toDF("node", "component")
-        seen = now
+    return edges.toDF("node", "component")
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none."""
+    again = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    onward = edges.select(F.col("v").alias("u")).join(edges.select("u"), "u", "left_semi")
+    return again.union(onward).isEmpty()
