@@ -4,8 +4,8 @@ A document's set of word shingles gives a signature of trees * depth minima. Eac
 of the signature. Documents that share the first `base` values of a tree form a region; in it a document is compared with
 its neighbours in the order, which are those with the longest common prefix. So small regions are compared in full at the
 base depth and large ones at the greater depth where they fall apart. Candidates are confirmed on full sets, confirmed
-links join groups, and the orders are read again with whole groups counted as one neighbour, until a round adds no link: a large
-group of copies never hides other documents behind its own members.
+links join groups, and the orders are read again with whole groups counted as one neighbour, until a round adds no link. What
+the orders leave open, documents in regions of more groups than they compare, goes to an exact join on each document's rarest shingles.
 
 Documents with the same set are one node throughout. A pair of similarity 0.8 misses all 12 regions with probability
 (1 - 0.8^2)^12 < 5e-6.
@@ -186,6 +186,43 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"))
 
 
+def _crowded(rows: DataFrame, neighbours: int) -> DataFrame:
+    """(id, comp) of the rows in regions that the orders don't compare in full: those of more than `neighbours` groups."""
+    rows = rows.withColumn("head", F.substring("key", 1, 4 * BASE))
+    groups = rows.groupBy("tree", "head", "comp").agg(F.count(F.lit(1)).alias("members"))
+    regions = groups.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > neighbours)
+    return rows.join(regions, ["tree", "head"], "left_semi").select("id", "comp").distinct()
+
+
+def _exact_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs of documents (id, comp) of different groups, among them every pair that reaches `percent`.
+
+    In one order of all shingles, rarest first, two such sets share one of their first n - ceil(percent * n / 100) + 1, and their
+    common part is at most what follows the first shared one. Shingles of one document only come first in the order; they are
+    counted, not kept. So a passage that many documents share is behind these places unless it makes up nearly all of a text."""
+    row = F.xxhash64("id", "shingles")
+    own = sets.join(docs, "id").select(row.alias("row"), "id", "comp", F.size("shingles").cast("bigint").alias("n"), "shingles")
+    tokens = stage(own.select("row", F.explode("shingles").alias("token")), "tokens")
+    members = stage(own.select("row", "id", "comp", "n").distinct(), "members")
+    counts = stage(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("docs")).where("docs > 1"), "token_counts")
+    shared = tokens.join(counts, "token").groupBy("row").agg(F.sort_array(F.collect_set(F.struct("docs", "token"))).alias("shared"))
+    places = F.size("shared") + 1 - F.expr(f"cast(({percent} * n + 99) div 100 as int)")
+    prefixes = shared.join(members, "row").withColumn("places", places).where("places > 0")
+    listed = prefixes.select("id", "comp", "n", F.size("shared").alias("m"), F.posexplode(F.slice("shared", F.lit(1), F.col("places"))).alias("at", "x"))
+    postings = stage(listed.select("id", "comp", "n", (F.col("m") - F.col("at")).alias("rest"), F.col("x.token").alias("token")), "postings")
+    # Rows of a token's largest group meet those of others only, so the members of a group are not paired. Of a pair the smaller set
+    # has the token early enough for a partner of its own size, and only such rows are met.
+    sizes = postings.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("token").agg(F.max_by("comp", F.struct("k", "comp")).alias("largest"), F.count(F.lit(1)).alias("groups")).where("groups > 1").select("token", "largest")
+    several = stage(postings.join(largest, "token").withColumns({"most": F.expr("comp = largest"), "early": F.expr(f"{100 + percent} * rest >= {2 * percent} * n")}), "several")
+
+    def met(small, large):
+        return small.where("early").alias("a").join(large.alias("b"), F.expr(f"""a.token = b.token AND a.comp <> b.comp AND (a.n < b.n OR a.n = b.n AND a.id < b.id)
+            AND 100 * a.n >= {percent} * b.n AND {100 + percent} * least(a.rest, b.rest) >= {percent} * (a.n + b.n)""")).select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b"))
+
+    return met(several.where("NOT most"), several).union(met(several.where("most"), several.where("NOT most"))).distinct()
+
+
 def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, percent: int = PERCENT, neighbours: int = NEIGHBOURS) -> DataFrame:
     """One row per row of `df`: id, n_shingles, component_id (the smallest id reachable over links), kept (id = component_id).
 
@@ -217,6 +254,10 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
         reach = neighbours
         edges = new if groups is None else new.union(groups.toDF("a", "b"))
         groups = components(edges)
+    rest = _exact_pairs(stage(_crowded(rows, neighbours), "crowded"), sets, percent)
+    new = stage(_confirmed(stage(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
+    if not new.isEmpty():
+        groups = components(new if groups is None else new.union(groups.toDF("a", "b")))
     edges = owners if groups is None else owners.union(groups.toDF("a", "b"))
     final = components(edges)
     out = per_row.select("id", "n").join(final.toDF("id", "component_id"), "id", "left")

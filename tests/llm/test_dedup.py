@@ -106,6 +106,16 @@ def test_a_large_group_hides_nobody(spark):
     assert got == near_components(rows, 5)
 
 
+def test_mates_among_thousands_around_one_passage(spark):
+    """Documents of one passage of 80 shingles with 15 further ones each: pairs of mates share five of these (similarity 85 / 105), others none
+    (80 / 110)."""
+    passage = [f"p{i}" for i in range(84)]
+    rows = [(2 * i + j, " ".join(passage + [f"m{i}_{k}" for k in range(5)] + [f"o{i}_{j}_{k}" for k in range(10)])) for i in range(1200) for j in (0, 1)]
+    rows += [(2 * i + j, " ".join(passage + [f"o{i}_{j}_{k}" for k in range(15)])) for i in range(1200, 1500) for j in (0, 1)]
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(table(spark, rows)).collect()}
+    assert got == {i: i - i % 2 if i < 2400 else i for i, _ in rows}
+
+
 def test_near_groups_edge_cases(spark):
     got = near_dedup.near_groups(table(spark)).collect()
     assert len(got) == len(TEXTS)
