@@ -133,11 +133,12 @@ def _ordered(rows: DataFrame) -> DataFrame:
 
 def _pairs(batches, neighbours: int, percent: int, edges: bool):
     """Candidate pairs (a, b) of rows in tree order: a row with the nearest rows before it of up to `neighbours` other groups
-    in its region. With `edges` also the rows near either end of the task, which may have neighbours in other tasks."""
+    in its region. With `edges` also the rows near either end of the task, one for each of so many groups, which may have
+    neighbours in other tasks."""
     head = 4 * BASE
     recent: list[tuple] = []
     first: list[tuple] = []
-    opening: set | None = set()
+    opening: set | None = set() if edges else None
     region = None
     out: set[tuple[int, int]] = set()
     for batch in slices(batches, 10_000):
@@ -147,7 +148,7 @@ def _pairs(batches, neighbours: int, percent: int, edges: bool):
                 if region is not None:
                     opening = None
                 region, recent = (tree, key[:head]), []
-            if opening is not None:
+            if opening is not None and comp not in opening:
                 opening.add(comp)
                 first.append(row)
                 if len(opening) > neighbours:

@@ -5,6 +5,7 @@ import re
 from hashlib import sha256
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +107,15 @@ def test_a_large_group_hides_nobody(spark):
     assert got == near_components(rows, 5)
 
 
+def test_a_task_inside_one_group_hands_on_few_rows():
+    n = 30_000
+    columns = [pa.array([0] * n, pa.int32()), pa.array([b"\0" * 24] * n, pa.binary()), *[pa.array(x, pa.int64()) for x in (range(n), [100] * n, [0] * n)]]
+    batch = pa.RecordBatch.from_arrays(columns, ["tree", "key", "id", "n", "comp"])
+    for edges, most in ((True, 2 * near_dedup.NEIGHBOURS + 1), (False, 0)):
+        out = list(near_dedup._pairs(iter([batch]), near_dedup.NEIGHBOURS, 80, edges))
+        assert sum(b.num_rows for b in out) <= most
+
+
 def test_mates_among_thousands_around_one_passage(spark):
     """Documents of one passage of 80 shingles with 15 further ones each: pairs of mates share five of these (similarity 85 / 105), others none
     (80 / 110)."""
