@@ -5,7 +5,7 @@ of the signature. Documents that share the first `base` values of a tree form a
 its neighbours in the order, which are those with the longest common prefix. So small regions are compared in full at the
 base depth and large ones at the greater depth where they fall apart. Candidates are confirmed on full sets, confirmed
 links join groups, and the orders are read again with whole groups counted as one neighbour, until a round adds no link. What
-the orders leave open, documents in regions of more groups than they compare, goes to an exact join on each document's rarest shingles.
+the orders leave open, documents in regions of more groups than they compare or beside linked groups of several documents, goes to an exact join on each document's rarest shingles.
 
 Documents with the same set are one node throughout. A pair of similarity 0.8 misses all 12 regions with probability
 (1 - 0.8^2)^12 < 5e-6.
@@ -188,10 +188,11 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _crowded(rows: DataFrame, neighbours: int) -> DataFrame:
-    """(id, comp) of the rows in regions that the orders don't compare in full: those of more than `neighbours` groups."""
+    """(id, comp) of the rows in regions that the orders don't compare in full: those of more than `neighbours` groups, and those of
+    several groups where one has several rows, of which only the nearest was compared."""
     rows = rows.withColumn("head", F.substring("key", 1, 4 * BASE))
     groups = rows.groupBy("tree", "head", "comp").agg(F.count(F.lit(1)).alias("members"))
-    regions = groups.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("groups")).where(F.col("groups") > neighbours)
+    regions = groups.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("groups"), F.sum("members").alias("members")).where((F.col("groups") > 1) & ((F.col("groups") > neighbours) | (F.col("members") > F.col("groups"))))
     return rows.join(regions, ["tree", "head"], "left_semi").select("id", "comp").distinct()
 
 

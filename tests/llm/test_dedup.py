@@ -116,6 +116,28 @@ def test_a_task_inside_one_group_hands_on_few_rows():
         assert sum(b.num_rows for b in out) <= most
 
 
+def test_links_with_any_member_of_a_chain(spark, monkeypatch):
+    """Chains of versions, and a document near each version: in one order alone, all links inside its regions are found."""
+    monkeypatch.setattr(near_dedup, "TREES", 1)
+    rng, rows = random.Random(6), []
+    for c in range(25):
+        at = 0
+        for v in range(8):
+            version = [f"c{c}_{i}" for i in range(at, at + 84)]
+            near = version[:20] + [f"x{c}_{v}_{i}" for i in range(4)] + version[24:]
+            rows += [(len(rows), " ".join(version)), (len(rows) + 1, " ".join(near))]
+            at += rng.randrange(2, 8)
+    rng.shuffle(rows)
+    df = table(spark, rows)
+    region = {r["id"]: bytes(r["signature"])[:4 * near_dedup.BASE] for r in near_dedup.sketches(df, "doc_id", "text", 5).collect()}
+    want = {}
+    for key in set(region.values()):
+        want |= near_components([r for r in rows if region[r[0]] == key], 5)
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_groups(df).collect()}
+    every = near_components(rows, 5)
+    assert all(got[i] == got[want[i]] and every[i] == every[got[i]] for i in got)
+
+
 def test_mates_among_thousands_around_one_passage(spark):
     """Documents of one passage of 80 shingles with 15 further ones each: pairs of mates share five of these (similarity 85 / 105), others none
     (80 / 110)."""
