@@ -16,7 +16,7 @@ ORACLE_SQL = None
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is decided; the others, which have no letters or no likely language, go."""
     ship(spark)
-    model = language_id.fit(docs, "text", "lang")
+    model = language_id.fit(docs, "text", "lang", "doc_id")
     marked = language_id.identify(docs, model, "doc_id", "text", declared_column="lang", host_column="source", carry=["text", "lang", "source", "n_chars"])
     return marked.where("accepted").select(docs.columns)
 

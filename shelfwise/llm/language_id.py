@@ -1,6 +1,6 @@
 """Language identification by Bayesian evidence fusion.
 
-Evidence for the language of a text: its byte trigrams (naive Bayes, fitted on a bounded sample of labelled rows), the
+Evidence for the language of a text: its byte trigrams (naive Bayes, fitted on a bounded sample of each language's labelled rows), the
 language that its markup declares, the suffix of its address, and the languages of its host. The last three are learned
 from the corpus itself by grouped aggregation of the texts' own posteriors: how often each declared value and each suffix
 comes with each language, and a host's mix of languages, smoothed towards its suffix and that towards the whole. All are
@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.arrow import by_hash, per_batch, slices, texts
+from shelfwise.llm.arrow import per_batch, slices, texts
 from shelfwise.sources.stage import stage
 
-#: Labelled rows that the trigram model is fitted on, about so many at most: those whose hash is below a limit.
+#: Labelled rows of each language that the trigram model is fitted on, about so many at most: those whose hash is below a limit.
 SAMPLE_ROWS = 4_000
 _BITS = 16
 #: Strength of a prior: so many texts of the level above count as much as a group's own.
@@ -63,11 +63,17 @@ class Trigrams:
         return (mean * min(len(g), EFFECTIVE)).tolist()
 
 
-def fit(labelled: DataFrame, text_column: str, label_column: str) -> Trigrams:
-    """Trigram counts of a bounded sample: tasks count their own rows, and one small table per task comes back."""
-    rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).alias("label")).where("text IS NOT NULL AND label IS NOT NULL")
-    sample = stage(by_hash(rows, SAMPLE_ROWS, F.xxhash64("text")), "language_sample")
-    labels = sorted(r[0] for r in sample.select("label").distinct().collect())
+def fit(labelled: DataFrame, text_column: str, label_column: str, id_column: str | None = None) -> Trigrams:
+    """Trigram counts of a bounded sample of every label, of the whole label where it is small: tasks count their own rows, and one
+    small table per task comes back. Rows are chosen by their ids, or by their texts without an `id_column`."""
+    rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).alias("label"), F.xxhash64(id_column or text_column).alias("key")).where("text IS NOT NULL AND label IS NOT NULL")
+    sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    labels = sorted(sizes)
+    limits = [(label, int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))) for label, n in sizes.items() if n > SAMPLE_ROWS]
+    if limits:
+        limit = F.coalesce(F.create_map(*[F.lit(x) for pair in limits for x in pair])[F.col("label")], F.lit(1 << 30))
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < limit)
+    sample = stage(rows.select("text", "label"), "language_sample")
 
     def run(batches):
         counts = {label: np.zeros(1 << _BITS, np.int64) for label in labels}

@@ -74,7 +74,7 @@ def op7_pii(spark, sf_dir):
 @_query
 def op2_language_id(spark, sf_dir):
     documents = _table(spark, sf_dir, "documents")
-    return language_id.identify(documents, language_id.fit(documents, "text", "lang"), "doc_id", "text", declared_column="lang", host_column="source")
+    return language_id.identify(documents, language_id.fit(documents, "text", "lang", "doc_id"), "doc_id", "text", declared_column="lang", host_column="source")
 
 
 @_query

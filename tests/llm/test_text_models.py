@@ -125,6 +125,16 @@ def test_languages_of_held_out_rows(spark):
     assert sum(r["language"] == r["lang"] for r in got) >= 0.98 * len(got)
 
 
+def test_rare_languages_have_a_class(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "SAMPLE_ROWS", 50)
+    rows = [(i, f"the cat and the dog number {i}", "en") for i in range(3000)] + [(5000 + i, f"le chat et le chien {i}", "fr") for i in range(6)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = language_id.fit(df, "text", "lang")
+    assert model.languages == ["en", "fr"]
+    got = language_id.identify(df.where("lang = 'fr'"), model, "doc_id", "text").collect()
+    assert [r["language"] for r in got] == ["fr"] * 6
+
+
 def test_pages_by_markup_and_address(spark):
     docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
     host = language_id.host_of(F.col("url"))
