@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfwise.llm import byte_bpe, chat, exact_dedup, fingerprints, language_id, near_dedup, packing, pii, suffix_tree, token_counts
+from shelfwise.llm import alignment, byte_bpe, chat, exact_dedup, fingerprints, language_id, near_dedup, packing, pii, suffix_tree, token_counts, warc, whitening
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -111,3 +111,28 @@ SELECT conv_id, n_turns, sha256(turns) AS turns_sha256, length(loss) AS loss_cha
 @_query
 def op5_lm_scoring(spark, sf_dir):
     return suffix_tree.score(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op11_alignment(spark, sf_dir):
+    return alignment.digests(_table(spark, sf_dir, "documents"))
+
+
+@_query
+def op12_warc(spark, sf_dir):
+    return warc.records(warc.write(_table(spark, sf_dir, "pages"), warc.archive_folder(spark)))
+
+
+# Base32 of a SHA-1: each 5 hexadecimal digits make 4 symbols.
+_BASE32 = " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST((CAST('0x' || substr(h, {1 + 5 * (i // 4)}, 5) AS BIGINT) >> {15 - 5 * (i % 4)}) & 31 AS BIGINT) + 1, 1)" for i in range(32))
+SQL["op12_warc"] = rf"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS t, sha1(coalesce(html, '')) AS h, min(page_id) OVER (PARTITION BY coalesce(html, '')) AS stays FROM pages)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest, CASE WHEN page_id = stays THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> stays THEN stays END AS refers_to
+FROM p
+"""
+
+
+@_query
+def op13_whitening(spark, sf_dir):
+    return whitening.whiten(_table(spark, sf_dir, "embeddings"))
