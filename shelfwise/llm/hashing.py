@@ -6,13 +6,12 @@ import numpy as np
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
-_UNBASE = pow(_BASE, -1, 1 << 64)
+_STEP = 0xD1B54A32D192ED03
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _BLOCK = (1 << 20) - 1
-_powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -29,30 +28,26 @@ def constants(n: int, seed: int) -> np.ndarray:
     return mix(np.arange(1, n + 1, dtype=U) * U(_BASE) + U(seed)) | U(1)
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
-        for k, base in enumerate((_BASE, _UNBASE)):
-            table = np.full(size, base, U)
-            table[0] = 1
-            _powers[k] = np.cumprod(table, dtype=U)
-    return _powers[0][:n], _powers[1][:n]
-
-
 def passages(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of data[start:end] for bytes `data`, in rising order; equal bytes have equal hashes wherever they stand.
-    Works on blocks of bounded size, or of one passage where that is longer."""
+    Every eight bytes are mixed with their place in the passage before they are added up, so no rule between letters and
+    places (as a polynomial has one) makes two passages equal. Works on blocks of bounded size, or of one passage where that is longer."""
     out = np.empty(len(starts), U)
     i = 0
     while i < len(starts):
         base = int(starts[i])
         j = max(i + 1, int(np.searchsorted(ends, base + _BLOCK, "right")))
-        block = data[base:ends[j - 1]]
-        up, down = _power(len(block) + 1)
-        sums = np.zeros(len(block) + 1, U)
-        np.cumsum((block.astype(U) + U(1)) * up[:-1], out=sums[1:])
+        block = np.append(data[base:ends[j - 1]], np.zeros(8, np.uint8))
         s, e = starts[i:j] - base, ends[i:j] - base
-        out[i:j] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(U))
+        count = np.maximum(1, (e - s + 7) >> 3)
+        first = np.cumsum(count) - count
+        place = np.arange(int(first[-1] + count[-1])) - np.repeat(first, count)
+        at = np.repeat(s, count) + 8 * place
+        eights = np.ndarray((len(block) - 7,), "<u8", block, strides=(1,))[at]
+        inside = np.minimum(np.repeat(e, count) - at, 8).astype(U)
+        eights &= np.where(inside == 8, ~U(0), (U(1) << (inside * U(8) & U(63))) - U(1))
+        mixed = mix(mix(eights + U(_BASE)) + place.astype(U) * U(_STEP))
+        out[i:j] = mix(np.add.reduceat(mixed, first) + (e - s).astype(U))
         i = j
     return out
 
