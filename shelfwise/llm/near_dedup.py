@@ -1,11 +1,11 @@
 """Near-duplicate groups by an LSH forest over MinHash signatures.
 
 A document's set of word shingles gives a signature of trees * depth minima. Each tree orders the documents by its own part
-of the signature. Documents that share the first `base` values of a tree form a region; in it a document is compared with
-its neighbours in the order, which are those with the longest common prefix. So small regions are compared in full at the
-base depth and large ones at the greater depth where they fall apart. Candidates are confirmed on full sets, confirmed
-links join groups, and the orders are read again with whole groups counted as one neighbour, until a round adds no link. What
-the orders leave open, documents in regions of more groups than they compare or beside linked groups of several documents, goes to an exact join on each document's rarest shingles.
+of the signature. Documents that share the first `base` values of a tree form a region; in it a document's candidate is
+its neighbour in the order, the one with the longest common prefix, so large regions are read at the greater depth where they fall
+apart. Candidates are confirmed on full sets, confirmed links join groups, and the orders are read again with whole groups counted as
+one neighbour, until a round adds few links. Then regions of few documents are compared in full at the base depth, and the documents of
+all others, regions of many groups or with linked groups of several documents, go to one exact join on their rarest shingles.
 
 Documents with the same set are one node throughout. A pair of similarity 0.8 misses all 12 regions with probability
 (1 - 0.8^2)^12 < 5e-6.
@@ -32,7 +32,7 @@ PERCENT = 80
 TREES = 12
 DEPTH = 6
 BASE = 2
-#: Groups that a document is compared with on either side, per tree and round.
+#: Regions of up to so many groups and one more are compared in full.
 NEIGHBOURS = 8
 #: Bits of the largest id filter that is sent to the tasks (32 MB); ids beyond an eighth of it are found by a join instead.
 FILTER_BITS = 1 << 28
@@ -187,13 +187,21 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             .where(100 * F.col("i") >= percent * (F.size("sa") + F.size("sb") - F.col("i"))).select("a", "b"))
 
 
-def _crowded(rows: DataFrame, neighbours: int) -> DataFrame:
-    """(id, comp) of the rows in regions that the orders don't compare in full: those of more than `neighbours` groups, and those of
-    several groups where one has several rows, of which only the nearest was compared."""
+def _grouped(regions: DataFrame, groups: DataFrame | None) -> DataFrame:
+    if groups is None:
+        return regions.withColumn("comp", F.col("id"))
+    return regions.join(groups.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
+
+
+def _split(rows: DataFrame, neighbours: int) -> tuple[DataFrame, DataFrame]:
+    """Of the regions with several groups: the rows of those that the orders compare in full, with up to `neighbours` + 1 groups of one
+    row each, and the distinct (id, comp) of all others."""
     rows = rows.withColumn("head", F.substring("key", 1, 4 * BASE))
     groups = rows.groupBy("tree", "head", "comp").agg(F.count(F.lit(1)).alias("members"))
-    regions = groups.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("groups"), F.sum("members").alias("members")).where((F.col("groups") > 1) & ((F.col("groups") > neighbours) | (F.col("members") > F.col("groups"))))
-    return rows.join(regions, ["tree", "head"], "left_semi").select("id", "comp").distinct()
+    regions = groups.groupBy("tree", "head").agg(F.count(F.lit(1)).alias("groups"), F.sum("members").alias("members")).where("groups > 1")
+    regions = stage(regions.select("tree", "head", ((F.col("groups") > neighbours + 1) | (F.col("members") > F.col("groups"))).alias("crowded")), "region_sizes")
+    small = rows.join(regions.where("NOT crowded"), ["tree", "head"], "left_semi").drop("head")
+    return small, rows.join(regions.where("crowded"), ["tree", "head"], "left_semi").select("id", "comp").distinct()
 
 
 def _exact_pairs(docs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -241,22 +249,21 @@ def near_groups(df: DataFrame, id_column: str = "doc_id", text_column: str = "te
     sets = stage(_region_sets(df.select(F.col(id_column).cast("bigint").alias("id"), F.col(text_column).alias("text")), regions.select("id").distinct(), width), "shingle_sets")
     # Rows that share an id but not a set tie their nodes together.
     owners = known.select("id", "digest").join(nodes.select("digest", F.col("id").alias("node")), "digest").where("id <> node").select(F.col("id").alias("a"), F.col("node").alias("b"))
-    groups, tried, reach = None, None, 1
+    groups, tried, found = None, None, 0
     while True:
-        rows = regions.withColumn("comp", F.col("id")) if groups is None else regions.join(groups.toDF("id", "comp"), "id", "left").withColumn("comp", F.coalesce("comp", "id"))
-        pairs = _candidates(rows, reach, percent)
+        # at first the row before, later also the nearest one before it of another group
+        pairs = _candidates(_grouped(regions, groups), 1 if groups is None else 2, percent)
         pairs = stage(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
         tried = pairs if tried is None else tried.union(pairs)
         new = stage(_confirmed(pairs, sets, percent), "links")
-        if new.isEmpty():
-            if reach == neighbours:
-                break
-            reach = neighbours
-            continue
-        reach = neighbours
-        edges = new if groups is None else new.union(groups.toDF("a", "b"))
-        groups = components(edges)
-    rest = _exact_pairs(stage(_crowded(rows, neighbours), "crowded"), sets, percent)
+        count = new.count()
+        found += count
+        if count:
+            groups = components(new if groups is None else new.union(groups.toDF("a", "b")))
+        if not count or 10 * count < found:
+            break
+    small, crowded = _split(stage(_grouped(regions, groups), "grouped_regions"), neighbours)
+    rest = _candidates(small, neighbours, percent).union(_exact_pairs(stage(crowded, "crowded"), sets, percent)).distinct()
     new = stage(_confirmed(stage(rest.join(tried, ["a", "b"], "left_anti"), "pairs"), sets, percent), "links")
     if not new.isEmpty():
         groups = components(new if groups is None else new.union(groups.toDF("a", "b")))

@@ -182,6 +182,34 @@ def test_word_hashes_follow_words():
     assert len(set(names.values())) == len(names)
 
 
+def thue_morse():
+    """A word of a and b, and the one with both exchanged: every polynomial over 64-bit integers gives them one hash."""
+    word = "a"
+    while len(word) < 1024:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_regular_words_stay_apart(spark):
+    one, two = thue_morse()
+    h, _ = hashing.words([f"{one} {two} {'a' * 1024} {'b' * 1024} {one[:-1]} {one}".encode()])
+    assert len(set(h.tolist())) == 5 and h[0] == h[-1]
+    got = near_dedup.near_groups(table(spark, [(1, one), (2, two), (3, f"{one} {two}"), (4, f"{two} {one}")])).collect()
+    assert {r["doc_id"]: (r["component_id"], r["kept"]) for r in got} == {i: (i, True) for i in (1, 2, 3, 4)}
+
+
+def test_passages_hash_alike_wherever_they_stand():
+    rng = np.random.default_rng(1)
+    data = rng.integers(0, 3, 3000).astype(np.uint8)
+    starts = np.sort(rng.integers(0, 2900, 400))
+    ends = np.maximum.accumulate(starts + rng.integers(0, 40, 400))
+    values = hashing.passages(data, starts, ends)
+    by_bytes = {}
+    for s, e, v in zip(starts, ends, values.tolist()):
+        assert by_bytes.setdefault(data[s:e].tobytes(), v) == v
+    assert len(set(by_bytes.values())) == len(by_bytes)
+
+
 def test_chunks_cover_the_text_and_survive_shifts():
     rng = random.Random(4)
     text = "".join(rng.choice("abcdefghij é") for _ in range(20_000))
