@@ -41,7 +41,7 @@ class ByteBpe:
         at = self.hash(keys)
         self.key, self.id = np.empty_like(keys), np.empty(len(keys), np.uint32)
         self.key[at], self.id[at] = keys, np.fromiter(self.ranks.values(), np.uint32)
-        self.missed = Memo(lambda piece: np.array(self.merge(piece), "<u4").tobytes(), 300_000)
+        self.missed = Memo(lambda piece: np.array(self.merge(piece), "<u4").tobytes())
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token: the pair with the lowest rank merges first, the leftmost of equals."""

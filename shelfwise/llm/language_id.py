@@ -15,12 +15,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.arrow import per_batch, slices, texts
+from shelfwise.llm.arrow import _quoted, per_batch, slices, texts
 from shelfwise.sources.stage import stage
 
 #: Labelled rows of each language that the trigram model is fitted on, about so many at most: those whose hash is below a limit.
 SAMPLE_ROWS = 4_000
 _BITS = 16
+#: Trigrams looked up at once.
+_BLOCK = 1 << 16
 #: Strength of a prior: so many texts of the level above count as much as a group's own.
 STRENGTH = 20.0
 #: Posterior probability below which a language stays undecided.
@@ -59,14 +61,14 @@ class Trigrams:
         g = _trigrams(text.encode())
         if len(g) < LETTERS or not any(c.isalpha() for c in text):
             return None
-        mean = self.log[:, g].mean(axis=1, dtype=np.float64)
-        return (mean * min(len(g), EFFECTIVE)).tolist()
+        total = sum(self.log[:, g[at:at + _BLOCK]].sum(axis=1, dtype=np.float64) for at in range(0, len(g), _BLOCK))
+        return (total / len(g) * min(len(g), EFFECTIVE)).tolist()
 
 
 def fit(labelled: DataFrame, text_column: str, label_column: str, id_column: str | None = None) -> Trigrams:
     """Trigram counts of a bounded sample of every label, of the whole label where it is small: tasks count their own rows, and one
     small table per task comes back. Rows are chosen by their ids, or by their texts without an `id_column`."""
-    rows = labelled.select(F.col(text_column).alias("text"), F.col(label_column).alias("label"), F.xxhash64(id_column or text_column).alias("key")).where("text IS NOT NULL AND label IS NOT NULL")
+    rows = labelled.select(F.col(_quoted(text_column)).alias("text"), F.col(_quoted(label_column)).alias("label"), F.xxhash64(F.col(_quoted(id_column or text_column))).alias("key")).where("text IS NOT NULL AND label IS NOT NULL")
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     labels = sorted(sizes)
     limits = [(label, int(min(1.0, SAMPLE_ROWS / n) * (1 << 30))) for label, n in sizes.items() if n > SAMPLE_ROWS]
@@ -97,8 +99,14 @@ def suffix_of(host: Column) -> Column:
 
 
 def declared_in(html: Column) -> Column:
-    """Primary language tag of the root element."""
-    return F.lower(F.regexp_extract(html, r"(?i)<html[^>]{0,400}\blang\s*=\s*[\"']?([a-z]{2,3})", 1))
+    """Primary language tag of the root element; '' without one, NULL for NULL."""
+    return F.lower(F.regexp_extract(html, r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1))
+
+
+def text_of(html: Column) -> Column:
+    """What is left of a page without scripts, styles, tags and character references."""
+    shown = F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>|<!--.*?-->", " ")
+    return F.regexp_replace(shown, r"<[^>]*>|&#?[A-Za-z0-9]+;", " ")
 
 
 def _normal(scores: Column) -> Column:
@@ -107,14 +115,25 @@ def _normal(scores: Column) -> Column:
     return F.transform(weights, lambda w: w / F.aggregate(weights, F.lit(0.0), lambda a, x: a + x))
 
 
-def identify(df: DataFrame, model: Trigrams, id_column: str, text_column: str, declared_column: str | None = None, host_column: str | None = None, suffix_column: str | None = None,
-             carry: list[str] | None = None) -> DataFrame:
-    """One row per row of `df`: id, language, probability, text_language (by its text alone), accepted; then `carry`.
+def identify(df: DataFrame, model: Trigrams, id_column: str, text_column: str, declared_column: str | None = None, host_column: str | None = None, suffix_column: str | None = None) -> DataFrame:
+    """One row per row of `df`: id, language, probability, text_language (by its text alone), accepted.
 
     `accepted` is false, and language NULL, for texts without letters (NULL and empty ones too) and where no language reaches
-    CONFIDENT. Missing or unknown declared values, suffixes and hosts are evidence of their own kind, learned like others.
-    Repeated rows give repeated results. An empty table gives no rows."""
-    carry = list(carry or [])
+    CONFIDENT. Of equally likely languages the first by name counts. Missing or unknown declared values, suffixes and hosts are
+    evidence of their own kind, learned like others. Repeated rows give repeated results, NULL ids stay, other columns are not
+    read. An empty table gives no rows."""
+    found = _judged(df, model, text_column, declared_column, host_column, suffix_column, [id_column])
+    return found.select(F.col("c0").alias(id_column), "language", "probability", "text_language", "accepted")
+
+
+def accepted(df: DataFrame, model: Trigrams, text_column: str, declared_column: str | None = None, host_column: str | None = None, suffix_column: str | None = None) -> DataFrame:
+    """The rows of `df` that `identify` accepts, with all their columns and no others, whatever their names."""
+    found = _judged(df, model, text_column, declared_column, host_column, suffix_column, df.columns).where("accepted")
+    return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(df.columns)])
+
+
+def _judged(df: DataFrame, model: Trigrams, text_column: str, declared_column: str | None, host_column: str | None, suffix_column: str | None, carry: list[str]) -> DataFrame:
+    """(language, probability, text_language, accepted) and the columns in `carry` as c0, c1, ... per row of `df`."""
     k = len(model.languages)
     log, languages = model.log, model.languages
 
@@ -123,20 +142,17 @@ def identify(df: DataFrame, model: Trigrams, id_column: str, text_column: str, d
         m.log, m.languages = log, languages
         return {**{n: batch.column(n) for n in batch.schema.names if n != "text"}, "scores": pa.array([m.scores(t) for t in texts(batch)], pa.list_(pa.float64()))}
 
+    def evidence(column):
+        return F.coalesce(F.col(_quoted(column)).cast("string"), F.lit("")) if column else F.lit("")
+
+    carried = [f"c{i}" for i in range(len(carry))]
+    source = df.select(F.col(_quoted(text_column)).alias("text"), evidence(declared_column).alias("declared"), evidence(host_column).alias("host"), evidence(suffix_column).alias("suffix"),
+                       *[F.col(_quoted(c)).alias(n) for c, n in zip(carry, carried)])
     if not k:
-        scored = df.select(F.col(id_column).alias("id"), F.lit(None).cast("array<double>").alias("scores"), *[F.lit("").alias(n) for n in ("declared", "host", "suffix")], *[F.col(c).alias(f"c{i}") for i, c in enumerate(carry)])
-    else:
-        missing = F.lit("")
-        source = df.withColumns({"_declared": F.coalesce(F.col(declared_column).cast("string"), missing) if declared_column else missing, "_host": F.coalesce(F.col(host_column).cast("string"), missing) if host_column else missing,
-                                 "_suffix": F.coalesce(F.col(suffix_column).cast("string"), missing) if suffix_column else missing, "_text": F.col(text_column)})
-        kinds = dict(df.dtypes)
-        columns = {"id": id_column, "text": "_text", "declared": "_declared", "host": "_host", "suffix": "_suffix"} | {f"c{i}": c for i, c in enumerate(carry)}
-        schema = f"id {kinds[id_column]}, declared string, host string, suffix string, scores array<double>" + "".join(f", c{i} {kinds[c]}" for i, c in enumerate(carry))
-        scored = per_batch(source, columns, run, schema)
-    scored = stage(scored, "text_scores")
-    if not k:
-        return scored.select(F.col("id").alias(id_column), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_language"),
-                             F.lit(False).alias("accepted"), *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+        return source.select(F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"), *carried)
+    kinds = dict(source.dtypes)
+    schema = "declared string, host string, suffix string, scores array<double>" + "".join(f", {c} {kinds[c]}" for c in carried)
+    scored = stage(per_batch(source, {c: c for c in source.columns}, run, schema), "text_scores")
     posterior = scored.where("scores IS NOT NULL").withColumn("p", _normal(F.col("scores")))
     sums = [F.sum(F.col("p")[i]).alias(f"p{i}") for i in range(k)]
     by_host = stage(posterior.groupBy("host", "suffix", "declared").agg(*sums, F.count(F.lit(1)).alias("n")), "host_languages")
@@ -160,13 +176,14 @@ def identify(df: DataFrame, model: Trigrams, id_column: str, text_column: str, d
     values = by_host.groupBy("declared").agg(*add)
     of_language = [max(total[c] or 0.0, 1e-6) for c in cols]
     declared = values.select("declared", F.array(*[F.log((F.col(f"p{i}") + F.lit(whole[i])) / (of_language[i] + STRENGTH)) for i in range(k)]).alias("said"))
-    prior = hosts.select("suffix", "host", F.array(*[F.log(f"q{i}") for i in range(k)]).alias("prior"))
+    # Both staged, so that Spark can split the join of a very common host or declared value.
+    prior = stage(hosts.select("suffix", "host", F.array(*[F.log(f"q{i}") for i in range(k)]).alias("prior")), "host_priors")
+    declared = stage(declared, "declared_languages")
     joined = scored.join(prior, ["suffix", "host"], "left").join(declared, "declared", "left")
     fused = F.zip_with(F.zip_with("scores", F.coalesce("prior", F.array(*[F.lit(float(np.log(w))) for w in whole])), lambda a, b: a + b),
                        F.coalesce("said", F.array(*[F.lit(0.0)] * k)), lambda a, b: a + b)
     names = F.array(*[F.lit(x) for x in languages])
     best = lambda scores: F.element_at(names, F.array_position(scores, F.array_max(scores)).cast("int"))
     out = joined.withColumn("fused", fused).withColumn("probability", F.coalesce(F.array_max(_normal(F.col("fused"))), F.lit(0.0)))
-    accepted = F.col("fused").isNotNull() & (F.col("probability") >= CONFIDENT)
-    return out.select(F.col("id").alias(id_column), F.when(accepted, best(F.col("fused"))).alias("language"), "probability", best(F.col("scores")).alias("text_language"), accepted.alias("accepted"),
-                      *[F.col(f"c{i}").alias(c) for i, c in enumerate(carry)])
+    sure = F.col("fused").isNotNull() & (F.col("probability") >= CONFIDENT)
+    return out.select(F.when(sure, best(F.col("fused"))).alias("language"), "probability", best(F.col("scores")).alias("text_language"), sure.alias("accepted"), *carried)

@@ -73,8 +73,10 @@ def op7_pii(spark, sf_dir):
 
 @_query
 def op2_language_id(spark, sf_dir):
-    documents = _table(spark, sf_dir, "documents")
-    return language_id.identify(documents, language_id.fit(documents, "text", "lang", "doc_id"), "doc_id", "text", declared_column="lang", host_column="source")
+    pages = _table(spark, sf_dir, "pages")
+    host = language_id.host_of(F.col("url"))
+    evidence = pages.select("page_id", language_id.text_of(F.col("html")).alias("text"), language_id.declared_in(F.col("html")).alias("declared"), host.alias("host"), language_id.suffix_of(host).alias("suffix"))
+    return language_id.identify(evidence, language_id.fit(_table(spark, sf_dir, "documents"), "text", "lang", "doc_id"), "page_id", "text", "declared", "host", "suffix")
 
 
 @_query

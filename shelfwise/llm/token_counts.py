@@ -36,9 +36,9 @@ class PrefixCounts:
         self.parts = {i: (i, i) for i in vocab.values()}
         for (a, b), i in reversed(self.joined.items()):
             self.parts[i] = (a, b)
-        self._apart = wordbpe.Memo(lambda pair: self.apart(pair >> 20, pair & 0xFFFFF), 1_000_000)
+        self._apart = wordbpe.Memo(lambda pair: self.apart(pair >> 20, pair & 0xFFFFF))
         self.counts = wordbpe.Memo(lambda word: self._prefixes(word, False)[-1])
-        self.tables = wordbpe.Memo(lambda word: self._prefixes(word, True), 20_000)
+        self.tables = wordbpe.Memo(lambda word: self._prefixes(word, True))
 
     def apart(self, left: int, right: int) -> bool:
         """Whether BPE leaves two neighbouring tokens unmerged. Both are taken apart from the side of their boundary, the

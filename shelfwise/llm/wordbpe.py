@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from sys import getsizeof
 
 # The pre-token pattern of the vocabulary, written for lower-case ASCII and Latin letters up to U+017F.
 _LETTERS = "a-zªµºß-öø-ſ"
@@ -16,7 +17,9 @@ _DIGITS = "0-9²³¹¼-¾"
 _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LETTERS}{_DIGITS}]+")
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ňŊ-ſ‐-‧€]")
 
-CACHED_WORDS = 400_000
+#: Bytes that remembered words and their results may take in a worker, about; a word that would take more than a hundredth isn't kept.
+CACHED_BYTES = 64 << 20
+_ENTRY_BYTES = 100
 
 
 @lru_cache(maxsize=4)
@@ -32,14 +35,19 @@ def load(name: str):
 class Memo(dict):
     """Remembers the results of `fn`, starting afresh when full, so its memory is bounded."""
 
-    def __init__(self, fn: Callable, limit: int = CACHED_WORDS):
+    def __init__(self, fn: Callable, limit: int = CACHED_BYTES):
         super().__init__()
-        self.fn, self.limit = fn, limit
+        self.fn, self.limit, self.held = fn, limit, 0
 
     def __missing__(self, key):
         value = self.fn(key)
-        if len(self) >= self.limit:
+        size = _ENTRY_BYTES + getsizeof(key) + getsizeof(value)
+        if 100 * size > self.limit:
+            return value
+        if self.held + size > self.limit:
             self.clear()
+            self.held = 0
+        self.held += size
         self[key] = value
         return value
 

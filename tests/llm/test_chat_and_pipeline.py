@@ -111,6 +111,20 @@ def test_pipeline_stages(spark):
     assert {r["doc_id"] for r in packed} == set(kept["pii"])
 
 
+def test_stages_give_back_all_columns(spark):
+    """Columns whose names the operators use themselves, columns with odd names, and rows without an id."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").where("doc_id < 60")
+    docs = docs.selectExpr("CASE WHEN doc_id <> 7 THEN doc_id END AS doc_id", "text", "lang", "source", "n_chars", "'u' AS url", "doc_id AS accepted", "lang AS language", "'t' AS _text", "1 AS id", "doc_id AS kept", "'x' AS `odd.name`")
+    before = {r["accepted"]: r for r in docs.collect()}
+    for name, fn in corpus_pipeline.STAGES[:-1]:
+        docs = spark.createDataFrame(fn(spark, docs, "").collect(), docs.schema)
+        rows = docs.collect()
+        assert 0 < len(rows) <= len(before) and sum(r["doc_id"] is None for r in rows) == 1, name
+        for r in rows:
+            assert all(r[c] == before[r["accepted"]][c] for c in docs.columns if name != "pii" or c not in ("text", "n_chars"))
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(rows)
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
@@ -118,7 +132,7 @@ def test_pipeline_of_nothing(spark, tmp_path):
 
 def test_registered_queries():
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 14))
     assert set(entry.oracle_sql()) <= names
 
 

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from shelfwise.llm import language_id, pii, suffix_tree
+from shelfwise.llm.queries import QUERIES
 from tests.llm.helpers import TEXTS, table, words
 
 SF = "/root/testdata/sf0.001"
@@ -111,17 +112,22 @@ def test_language_evidence_is_fused(spark):
     rows = [(1, "the dog", "en", "a.co.uk", "uk"), (2, "xq", "de", "b.de", "de"), (3, "und die", "de", "b.de", "de"), (4, None, "fr", "c.fr", "fr"), (5, "12 34 !!", "", "", ""),
             (6, "le chat", "fr", "c.fr", "fr"), (7, "zz", "", "c.fr", "fr"), (8, "die Katze und", "de", "d.de", "de")] + [(10 + i, "der Hund und die", "de", "b.de", "de") for i in range(30)]
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id bigint, text string, said string, host string, suffix string, id int, scores string")
-    got = {r["doc_id"]: r for r in language_id.identify(df, model, "doc_id", "text", "said", "host", "suffix", carry=["id", "scores"]).collect()}
+    got = {r["doc_id"]: r for r in language_id.identify(df, model, "doc_id", "text", "said", "host", "suffix").collect()}
     want = brute_language(model, rows)
     assert {i: r["language"] for i, r in got.items()} == {i: w[0] for i, w in want.items()}
     assert all(abs(got[i]["probability"] - want[i][1]) < 1e-6 for i in got)
-    assert got[2]["language"] == "de" and not got[4]["accepted"] and not got[5]["accepted"] and got[1]["scores"] == "x"
+    assert got[2]["language"] == "de" and not got[4]["accepted"] and not got[5]["accepted"]
+    clashing = df.toDF("doc_id", "_text", "language", "accepted", "probability", "c0", "text").withColumn("doc_id", F.when(F.col("doc_id") != 2, F.col("doc_id")))
+    kept = language_id.accepted(clashing, model, "_text", "language", "accepted", "probability")
+    assert kept.schema == clashing.schema
+    accepted = {i for i, r in got.items() if r["accepted"]}
+    assert sorted(map(str, kept.collect())) == sorted(str(r) for r in clashing.collect() if (r["doc_id"] or 2) in accepted)
 
 
 def test_languages_of_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.fit(docs.where("doc_id % 2 = 0"), "text", "lang")
-    got = language_id.identify(docs.where("doc_id % 2 = 1"), model, "doc_id", "text", carry=["lang"]).collect()
+    got = language_id.identify(docs.where("doc_id % 2 = 1"), model, "doc_id", "text").join(docs.select("doc_id", "lang"), "doc_id").collect()
     assert sum(r["language"] == r["lang"] for r in got) >= 0.98 * len(got)
 
 
@@ -136,19 +142,40 @@ def test_rare_languages_have_a_class(spark, monkeypatch):
 
 
 def test_pages_by_markup_and_address(spark):
-    docs, pages = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "pages"))
+    """The registered query over all pages: every page has a row, and languages are those of its markup."""
+    got = QUERIES["op2_language_id"](spark, SF).collect()
+    said = {r["page_id"]: r["said"] for r in spark.read.parquet(f"{SF}/pages.parquet").select("page_id", language_id.declared_in(F.col("html")).alias("said")).collect()}
+    assert sorted(r["page_id"] for r in got) == sorted(said) and sum(r["language"] == said[r["page_id"]] for r in got) >= 0.9 * len(got)
+
+
+def test_each_evidence_changes_results(spark):
+    """One text that fits two languages equally, told apart by markup, by suffix, or by host alone."""
+    labelled = spark.createDataFrame([("der Hund und die Katze", "de"), ("le chat et le chien", "fr")] * 3, "text string, lang string")
+    model = language_id.fit(labelled, "text", "lang")
+    german, french = "der Hund und die Katze", "le chat et le chien"
+    rows = [(f"http://a{i}.{s}/x", f'<html lang="{w}"><p>{t}', "") for i in range(20) for s, w, t in (("de", "de", german), ("fr", "fr", french), ("com", "", german), ("com", "", french))]
+    rows += [(f"https://u@{h}.com:80/{i}", t, "") for i in range(20) for h, t in (("g", german), ("f", french))]
+    for url, html in (("http://new.org/", "<html id=1 LANG='{}-x'>zzz"), ("http://new.{}/", "<script>der Hund</script>zzz"), ("http://{}.com/", "zzz&amp;")):
+        for word in ("de", "fr"):
+            host = {"de": "g", "fr": "f"}[word] if url == "http://{}.com/" else word
+            rows.append((url.format(host), html.format(host), word))
     host = language_id.host_of(F.col("url"))
-    pages = pages.withColumns({"said": language_id.declared_in(F.col("html")), "host": host, "suffix": language_id.suffix_of(host), "body": F.regexp_replace("html", "<[^>]*>", " ")})
-    got = language_id.identify(pages, language_id.fit(docs, "text", "lang"), "page_id", "body", "said", "host", "suffix", carry=["said"]).collect()
-    assert len(got) == pages.count() and sum(r["language"] == r["said"] for r in got) >= 0.9 * len(got)
+    pages = spark.createDataFrame(rows, "url string, html string, want string").select("want", language_id.text_of(F.col("html")).alias("text"), language_id.declared_in(F.col("html")).alias("said"),
+                                                                                      host.alias("host"), language_id.suffix_of(host).alias("suffix"))
+    assert {(r["want"], r["language"]) for r in language_id.identify(pages, model, "want", "text", "said", "host", "suffix").collect() if r["want"]} == {("de", "de"), ("fr", "fr")}
+    for blind in ({"declared_column": None}, {"suffix_column": None, "host_column": None}, {"host_column": None}):
+        columns = {"declared_column": "said", "host_column": "host", "suffix_column": "suffix"} | blind
+        got = [(r["want"], r["language"]) for r in language_id.identify(pages, model, "want", "text", **columns).collect() if r["want"]]
+        assert any(want != language for want, language in got), blind
 
 
 def test_language_edge_cases(spark):
     empty = language_id.fit(table(spark, []), "text", "lang")
     assert [r["accepted"] for r in language_id.identify(table(spark), empty, "doc_id", "text").collect()] == [False] * len(TEXTS)
     model = language_id.fit(table(spark), "text", "lang")
-    got = language_id.identify(table(spark), model, "doc_id", "text", "lang", "source", carry=["text"]).collect()
-    assert len(got) == len(TEXTS) and all(r["accepted"] == any(c.isalpha() for c in r["text"] or "") for r in got if r["doc_id"] != 8)
+    got = language_id.identify(table(spark), model, "doc_id", "text", "lang", "source").collect()
+    letters = {i: any(c.isalpha() for c in t or "") for i, t in TEXTS if i is not None}
+    assert len(got) == len(TEXTS) and all(r["accepted"] == letters[r["doc_id"]] for r in got if r["doc_id"] not in (8, None))
     assert language_id.identify(table(spark, []), model, "doc_id", "text").count() == 0
 
 
