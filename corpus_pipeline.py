@@ -16,9 +16,7 @@ ORACLE_SQL = None
 def languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is decided; the others, which have no letters or no likely language, go."""
     ship(spark)
-    model = language_id.fit(docs, "text", "lang", "doc_id")
-    marked = language_id.identify(docs, model, "doc_id", "text", declared_column="lang", host_column="source", carry=["text", "lang", "source", "n_chars"])
-    return marked.where("accepted").select(docs.columns)
+    return language_id.accepted(docs, language_id.fit(docs, "text", "lang", "doc_id"), "text", declared_column="lang", host_column="source")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +28,14 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near duplicates."""
     ship(spark)
-    dropped = near_dedup.near_groups(docs).where("NOT kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti")
+    dropped = near_dedup.near_groups(docs.select("doc_id", "text")).where("NOT kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data in their texts replaced; n_chars follows the text."""
     ship(spark)
-    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(docs.columns)
+    return pii.redact(docs).withColumn("n_chars", F.length("text").cast("bigint")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
