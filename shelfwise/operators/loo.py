@@ -16,6 +16,7 @@ from shelfwise.functions import text as text_fn
 from shelfwise.functions import vectors
 from shelfwise.operators import affinity
 from shelfwise.params import FeatureParams
+from shelfwise.sources.stage import stage
 
 COUNTED = ("click", "purchase", "cart", "search")
 
@@ -44,17 +45,49 @@ def splits(pairs: DataFrame, min_products: int, seed: int) -> DataFrame:
     return out.select("user_id", "product_id", F.when(held & (F.col("pick") == 1), "test").when(held & (F.col("pick") == 2), "val").otherwise("train").alias("role"))
 
 
+#: Letters of an index key, and characters of the parts that long words are cut into before their letters are listed.
+KEY_LETTERS, PART_CHARS = 5, 1000
+
+
+def _name_keys(name: Column) -> Column:
+    """Possible index keys (place, key) of a name. A word behind a space stands at the start of a word wherever the name is found: place
+    'start', its first letters. A name of one word may stand inside a word: place 'inside', any letters in a row."""
+    later = F.filter(F.slice(F.split(name, " "), F.lit(2), F.lit(1 << 20)), lambda w: w != "")
+    size = F.least(F.lit(KEY_LETTERS), F.length(name))
+    starts = F.transform(later, lambda w: F.struct(F.lit("start").alias("place"), w.substr(1, KEY_LETTERS).alias("key")))
+    begin = name.substr(1, PART_CHARS)  # any key of a name will do
+    inside = F.transform(F.sequence(F.lit(1), F.length(begin) - size + 1), lambda i: F.struct(F.lit("inside").alias("place"), begin.substr(i, size).alias("key")))
+    return F.array_distinct(F.when(F.size(later) > 0, starts).otherwise(inside))
+
+
+def name_index(named: DataFrame) -> DataFrame:
+    """(name, place, key): each distinct name under the one of its keys that the fewest names have."""
+    listed = named.select("name").distinct().select("name", F.explode(_name_keys(F.col("name"))).alias("k"))
+    counts = listed.groupBy("k").agg(F.count(F.lit(1)).alias("names"))
+    rarest = listed.join(counts, "k").groupBy("name").agg(F.min_by("k", F.struct("names", "k")).alias("k"))
+    return rarest.select("name", "k.place", "k.key")
+
+
 def text_mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
     """(user_id, text_id, product_id) where a user's text contains the name of one of the given products, both
-    normalised. Every text is cut into its substrings of the lengths that names really have, so the containment
-    test is a plain equality join instead of comparing every text with every name."""
-    named = names.select("user_id", "product_id", text_fn.normalise(F.col("name")).alias("part")).where("part <> ''")
-    lengths = names.agg(F.sort_array(F.collect_set(F.length(text_fn.normalise(F.col("name"))))).alias("l")).scalar()
-    clean = texts.select("user_id", "text_id", text_fn.normalise(F.col("text")).alias("t")).withColumn("lengths", lengths)
-    parts = F.expr("""flatten(transform(filter(lengths, l -> l > 0 AND l <= length(t)),
-                      l -> transform(sequence(1, length(t) - l + 1), i -> substring(t, i, l))))""")
-    cut = clean.select("user_id", "text_id", F.explode(F.array_distinct(parts)).alias("part"))
-    return cut.join(named, ["user_id", "part"]).select("user_id", "text_id", "product_id").distinct()
+    normalised. Names are indexed under their rarest key and texts are looked up by their distinct words, so rows follow the words of a
+    text and the names that share a key with them; only those pairs are compared. NULL and empty names and texts match nothing."""
+    named = names.select("user_id", "product_id", text_fn.normalise(F.col("name")).alias("name")).where("name <> ''")
+    index = stage(name_index(named), "name_index")
+    lengths = index.agg(F.collect_set(F.struct("place", F.length("key").alias("size"))).alias("l")).scalar()  # at most two for each key length
+    clean = texts.select("user_id", "text_id", text_fn.normalise(F.col("text")).alias("t")).where("t IS NOT NULL")
+    words = clean.select("user_id", "text_id", F.explode(F.array_distinct(F.split("t", " "))).alias("w")).where("w <> ''").withColumn("lengths", lengths)
+
+    def sizes(place, text):
+        return F.transform(F.filter("lengths", lambda x: (x["place"] == place) & (x["size"] <= F.length(text))), lambda x: x["size"])
+
+    starts = words.select("user_id", "text_id", F.lit("start").alias("place"), F.explode(F.transform(sizes("start", F.col("w")), lambda n: F.col("w").substr(F.lit(1), n))).alias("key"))
+    cuts = F.transform(F.sequence(F.lit(0), F.expr(f"cast((length(w) - 1) div {PART_CHARS} as int)")), lambda i: F.col("w").substr(i * PART_CHARS + 1, F.lit(PART_CHARS + KEY_LETTERS - 1)))
+    parts = words.where(F.exists("lengths", lambda x: x["place"] == "inside")).select("user_id", "text_id", "lengths", F.explode(cuts).alias("part"))
+    letters = F.flatten(F.transform(sizes("inside", F.col("part")), lambda n: F.transform(F.sequence(F.lit(1), F.length("part") - n + 1), lambda i: F.col("part").substr(i, n))))
+    inside = parts.select("user_id", "text_id", F.lit("inside").alias("place"), F.explode(F.array_distinct(letters)).alias("key"))
+    found = starts.union(inside).distinct().join(named.join(index, "name"), ["user_id", "place", "key"]).select("user_id", "text_id", "product_id", "name").distinct()
+    return found.join(clean, ["user_id", "text_id"]).where(F.contains("t", "name")).select("user_id", "text_id", "product_id").distinct()
 
 
 def signal_counts(clean_log: DataFrame, searches: DataFrame) -> DataFrame:

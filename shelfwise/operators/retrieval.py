@@ -3,7 +3,8 @@
 Items are cut into blocks of bounded size, queries into chunks; every (block, chunk) pair is one group whose
 task multiplies two small matrices and emits only the best k per query. The block lists merge in a window that
 Spark limits to k rows per query before its shuffle. Exact search sends a query to every block; cell search
-(approximate) sends it to the blocks of the cells nearest to it.
+(approximate) sends it to the blocks of the cells nearest to it; bounded search (exact) sends it to the blocks of those cells
+that can hold one of its best k.
 """
 
 from __future__ import annotations
@@ -20,8 +21,10 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions.vectors import checked
 from shelfwise.params import RetrievalParams
+from shelfwise.sources.stage import stage
 
 _SUB = 1 << 20  # blocks of one cell are numbered cell * _SUB + part
+_SLACK = 1e-7  # covers rounding of angles and scores in bounds
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -150,6 +153,113 @@ def cell_topk(queries: DataFrame, items: DataFrame, k: int, params: RetrievalPar
     return _merge(_match(routed, placed, k, chunks, True), k)
 
 
+def _placed(items: DataFrame, params: RetrievalParams) -> tuple[DataFrame, DataFrame, np.ndarray, np.ndarray, np.ndarray]:
+    """Items (item_id, vector, cell, angle) in cells around items chosen by hash, about the root of the catalogue and at most
+    `search_cells` many; (cell, items, radius, parts) per cell; then centres, widest angles and sizes by cell for the routing. Items
+    without a direction, whose cosine is 0 with everything, are a cell of their own, the last one."""
+    count = items.count()
+    cells = min(params.search_cells, max(1, math.isqrt(count)))
+    drawn = items.where(F.exists("vector", lambda x: x != 0)).orderBy(F.xxhash64("item_id"), "item_id").limit(cells).select("vector").toArrow()
+    centres = _unit(_matrix(drawn.column("vector"))) if drawn.num_rows else np.zeros((0, 0))
+    zero = len(centres)
+
+    def nearest(batches):
+        for batch in batches:
+            m = _matrix(pa.Table.from_batches([batch]).column("vector"))
+            still = ~m.any(axis=1)
+            if zero:
+                cosine = np.clip(_unit(m) @ centres.T, -1, 1)
+                cell = cosine.argmax(axis=1)
+                angle = np.arccos(cosine[np.arange(len(m)), cell])
+            else:
+                cell, angle = np.zeros(len(m), np.int64), np.zeros(len(m))
+            cell[still], angle[still] = zero, 0.0
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell.astype(np.int64)), pa.array(angle)], names=[*batch.schema.names, "cell", "angle"])
+
+    kind = items.schema["vector"].dataType.simpleString()
+    placed = stage(items.select("item_id", "vector").mapInArrow(nearest, f"item_id bigint, vector {kind}, cell bigint, angle double"), "search_cells")
+    sizes = stage(placed.groupBy("cell").agg(F.count(F.lit(1)).alias("items"), F.max("angle").alias("radius")).withColumn(
+        "parts", F.ceil(F.col("items") / F.lit(params.item_block_rows)).cast("bigint")), "search_cell_sizes")
+    radius, size = np.zeros(zero + 1), np.zeros(zero + 1, np.int64)
+    for r in sizes.collect():  # a row per cell
+        radius[r["cell"]], size[r["cell"]] = r["radius"], r["items"]
+    return placed, sizes, centres, radius, size
+
+
+def _best_possible(q: np.ndarray, centres: np.ndarray, radius: np.ndarray) -> np.ndarray:
+    """Upper bound of the cosine with any item of each cell: no item is closer than the centre less the cell's radius."""
+    best = np.zeros((len(q), len(radius)))
+    if len(centres):
+        angle = np.arccos(np.clip(_unit(q) @ centres.T, -1, 1))
+        best[:, :-1] = np.cos(np.maximum(0.0, angle - radius[:-1])) + _SLACK
+        best[~q.any(axis=1)] = 0.0
+    return best
+
+
+def _routed(queries: DataFrame, model: tuple[np.ndarray, np.ndarray, np.ndarray], k: int, visited: bool) -> DataFrame:
+    """(query_id, vector, cell). First visit: the cells that promise most, as many as hold k items. Later (`visited`, with the
+    k-th score so far in `least`, NULL where there are fewer): all others whose bound reaches that score."""
+    centres, radius, size = model
+
+    def run(batches):
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            best = _best_possible(_matrix(t.column("vector")), centres, radius)
+            best[:, size == 0] = -np.inf
+            order = np.argsort(-best, axis=1, kind="stable")
+            held = np.cumsum(size[order], axis=1) - size[order]
+            first = np.zeros(best.shape, bool)
+            np.put_along_axis(first, order, held < k, axis=1)
+            chosen = first & (size > 0)
+            if visited:
+                least = t.column("least").to_numpy()
+                chosen = ~first & (size > 0) & ((best >= least[:, None]) | np.isnan(least)[:, None])
+            row, cell = np.nonzero(chosen)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(cell.astype(np.int64))], ["query_id", "vector", "cell"])
+
+    kind = queries.schema["vector"].dataType.simpleString()
+    return queries.mapInArrow(run, f"query_id bigint, vector {kind}, cell bigint")
+
+
+def bounded_topk(queries: DataFrame, items: DataFrame, k: int, params: RetrievalParams = RetrievalParams(), allowed: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Exact search by cosine that skips cells of items: the hits of `exact_topk`, and the visits (query_id, cell, items).
+
+    Two passes of branch and bound. The first scores each query against the cells that promise most and gives a lower bound of
+    its k-th score. The second visits only those other cells whose best possible cosine reaches that bound, so its work
+    follows the catalogue's shape: clustered vectors cost about the root of the catalogue, evenly spread ones all of it."""
+    if k <= 0:
+        raise ValueError(f"a search for {k} items finds nothing")
+    queries, items = _sides(queries, items)
+    if allowed is not None:
+        items = items.join(allowed, "item_id", "left_semi")
+    placed, sizes, *model = _placed(items, params)
+    chunks = _chunks(queries.count(), params, queries.sparkSession.sparkContext.defaultParallelism)
+    whole = F.lit(0).cast("bigint")
+    blocks = placed.join(F.broadcast(sizes.select("cell", "parts")), "cell").withColumn("block", F.col("cell") * _SUB + F.pmod(F.xxhash64("item_id"), F.col("parts")))
+
+    def visit(routed):
+        split = routed.join(F.broadcast(sizes.select("cell", "parts")), "cell").withColumn(
+            "block", F.explode(F.transform(F.sequence(whole, F.col("parts") - 1), lambda p: F.col("cell") * _SUB + p)))
+        return _merge(_match(split, blocks, k, chunks, True), k)
+
+    first = stage(_routed(queries, model, k, False), "first_cells")
+    found = stage(visit(first), "first_hits")
+    bound = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("least"))
+    # NaN: nothing known yet
+    second = stage(_routed(queries.join(bound, "query_id", "left").select("query_id", "vector", F.coalesce("least", F.lit(float("nan"))).alias("least")), model, k, True), "other_cells")
+    visits = first.select("query_id", "cell").union(second.select("query_id", "cell")).join(F.broadcast(sizes.select("cell", "items")), "cell").select("query_id", "cell", "items")
+    columns = ["query_id", "item_id", "score", "rank"]
+    return _merge(found.select(columns).union(visit(second).select(columns)), k), visits
+
+
+def nearest_items(queries: DataFrame, items: DataFrame, k: int, params: RetrievalParams = RetrievalParams(), allowed: DataFrame | None = None) -> DataFrame:
+    """The exact k best items per query by cosine. A catalogue of one block is multiplied at once, which no bound makes cheaper;
+    a larger one is searched by bounds. Both give the same hits."""
+    if items.count() <= params.item_block_rows:
+        return exact_topk(queries, items, k, params, allowed=allowed)
+    return bounded_topk(queries, items, k, params, allowed)[0]
+
+
 def pool_size(params: RetrievalParams, limit: int, catalog_size: int) -> int:
     """Candidates to retrieve for a list of `limit`: a multiple of it and never few, as far as the catalog reaches."""
     if min(limit, catalog_size) < 1:

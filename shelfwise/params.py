@@ -51,6 +51,7 @@ class RetrievalParams:
     candidate_pool_multiplier: int = 5
     min_candidate_pool: int = 50
     probed_cells: int = 16  # of the approximate search, for each query
+    search_cells: int = 4_096  # of the bounded search, at most; their centres are sent to every task
     item_block_rows: int = 16_384  # rows of one in-task item matrix
     query_chunk_rows: int = 8_192  # queries multiplied against it at a time
 

@@ -50,7 +50,7 @@ def vector_rankings(t: Tables, hist: DataFrame, eligible_ids: DataFrame, k: int,
     vec = affinity.user_vectors(affinity.signal_vectors(hist, t.embeddings, params.features, EMBEDDING_DIM), EMBEDDING_DIM)
     queries = stage(vec.select(F.col("example_id").alias("query_id"), "vector"), "case_vectors")
     items = t.embeddings.select(F.col("product_id").alias("item_id"), F.col("embedding").alias("vector"))
-    hits = retrieval.exact_topk(queries, items, k, params.retrieval, allowed=eligible_ids)
+    hits = retrieval.nearest_items(queries, items, k, params.retrieval, allowed=eligible_ids)
     return hits.select(F.col("query_id").alias("case_id"), "rank", "item_id", "score")
 
 

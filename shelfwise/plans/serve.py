@@ -33,7 +33,7 @@ def personalised(features: DataFrame, cat: Catalog, embeddings: DataFrame, pool:
     queries = features.where("vector IS NOT NULL").select(F.col("example_id").alias("query_id"), "vector")
     allowed = cat.features.where("eligible").select(F.col("product_id").alias("item_id"))
     items = embeddings.select(F.col("product_id").alias("item_id"), F.col("embedding").alias("vector"))
-    hits = retrieval.exact_topk(queries, items, pool, params.retrieval, allowed=allowed)
+    hits = retrieval.nearest_items(queries, items, pool, params.retrieval, allowed=allowed)
     if scorer is None:
         return hits.select(F.col("query_id").alias("example_id"), F.col("rank").alias("position"), F.col("item_id").alias("product_id"),
                            "score", F.lit("personalized").alias("source"))

@@ -78,6 +78,19 @@ def _(t):
     return examples.leave_one_out(t).mentions
 
 
+@query("conversation_mentions", "B18", r"""
+  WITH turn AS (SELECT conv_id, turn, role, lower(trim(text)) AS t FROM conversations),
+  opening AS (SELECT conv_id, turn, w FROM (
+    SELECT conv_id, turn, unnest([regexp_extract(t, '^[^ ]+'), regexp_extract(t, '^[^ ]+ [^ ]+')]) AS w FROM turn WHERE role = 'assistant') WHERE w <> '')
+  SELECT DISTINCT u.conv_id AS user_id, u.turn AS text_id, o.turn AS product_id FROM turn u JOIN opening o USING (conv_id) WHERE u.role = 'user' AND contains(u.t, o.w)""")
+def _(t):
+    """Which answers' openings, of one and of two words, stand in the user's own turns of the conversation."""
+    said = t.scan("conversations").where("role = 'assistant'").withColumn("t", F.lower(F.trim("text")))
+    openings = F.array(F.regexp_extract("t", "^[^ ]+", 0), F.regexp_extract("t", "^[^ ]+ [^ ]+", 0))
+    names = said.select(F.col("conv_id").alias("user_id"), F.col("turn").alias("product_id"), F.explode(openings).alias("name"))
+    return loo.text_mentions(t.user_turns.withColumnRenamed("turn", "text_id"), names)
+
+
 @query("loo_usable_searches", "B16", """
   SELECT e.user_id, coalesce(e.product_id, -1) AS own_product, count(s.event_id) FILTER (x.hit IS NULL) AS usable_searches
   FROM x_looex e LEFT JOIN (SELECT * FROM x_loosearch WHERE term IS NOT NULL) s USING (user_id)

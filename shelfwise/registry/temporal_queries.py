@@ -212,6 +212,18 @@ def _(t):
     return top.withColumn("score", r("score"))
 
 
+@query("bounded_neighbours", "F1 F3 C11 C12", """
+  SELECT query_id, item_id, rank, round(score, 6) AS score FROM (
+    SELECT a.product_id AS query_id, b.product_id AS item_id, list_cosine_similarity(a.vec, b.vec) AS score,
+           row_number() OVER (PARTITION BY a.product_id ORDER BY list_cosine_similarity(a.vec, b.vec) DESC, b.product_id) AS rank
+    FROM x_vecs a CROSS JOIN (SELECT v.product_id, v.vec FROM x_vecs v JOIN x_pf USING (product_id) WHERE eligible) b) WHERE rank <= 10""")
+def _(t):
+    e = t.embeddings
+    hits, _ = retrieval.bounded_topk(e.select(F.col("product_id").alias("query_id"), F.col("embedding").alias("vector")),
+                                     e.select(F.col("product_id").alias("item_id"), F.col("embedding").alias("vector")), 10, P.retrieval, allowed=evaluate.eligible_ids(t))
+    return hits.withColumn("score", r("score"))
+
+
 @query("item_neighbours", "F1 C11", """
   SELECT query_id, item_id, rank, round(score, 6) AS score FROM (
     SELECT a.product_id AS query_id, b.product_id AS item_id, list_cosine_similarity(a.vec, b.vec) AS score,

@@ -148,6 +148,21 @@ def test_text_mentions_equal_substring_search(spark):
     assert got == want and got
 
 
+def test_text_mentions_of_odd_names_and_long_texts(spark):
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 5)))
+    texts = [(u, i, rng.choice([" ", "  ", "\n"]).join(word() for _ in range(12))) for u in (1, 2) for i in range(20)] + [(1, 100, None), (1, 101, ""), (2, 102, "  ")]
+    names = [(u, j, rng.choice([" ", "  ", "\n"]).join(word() for _ in range(rng.randrange(1, 4)))) for u in (1, 2) for j in range(60)] + [(1, 900, None), (1, 901, " "), (3, 902, "a")]
+    long = "é" * 400_000 + "Red Ring" + "x" * 400_000 + " blue bolt-like " + " ".join(word() for _ in range(50_000))
+    texts += [(9, 1, long)]
+    names += [(9, 1, "red ring"), (9, 2, "blue bolt"), (9, 3, "éred"), (9, 4, "ringx"), (9, 5, "bolt blue"), (9, 6, "blue bolts"), (9, 7, "x" * 300_000), (9, 8, "x" * 500_000)]
+    got = {tuple(r) for r in loo.text_mentions(spark.createDataFrame(texts, "user_id bigint, text_id bigint, text string"), spark.createDataFrame(names, "user_id bigint, product_id bigint, name string")).collect()}
+    clean = lambda s: (s or "").strip(" ").lower()
+    want = {(u, i, p) for u, i, t in texts for v, p, n in names if u == v and clean(n) and clean(n) in clean(t)}
+    assert got == want and {p for u, _, p in got if u == 9} == {1, 2, 3, 4, 7}
+    assert loo.text_mentions(spark.createDataFrame([(1, 1, "a")], "user_id bigint, text_id bigint, text string"), spark.createDataFrame([], "user_id bigint, product_id bigint, name string")).count() == 0
+
+
 def test_pair_id_rejects_large_ids(spark):
     df = spark.createDataFrame([(5, 1 << 31)], "u bigint, p bigint")
     with pytest.raises(Exception, match="too large"):

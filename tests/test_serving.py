@@ -68,6 +68,29 @@ def test_restricted_search_returns_only_allowed_and_caps_k(spark):
         retrieval.exact_topk(vec_df(spark, unit(1, 8, 1), "query_id"), vec_df(spark, unit(3, 8, 2), "item_id"), 0)
 
 
+def test_bounded_search_equals_full_search_with_less_work(spark):
+    centres = unit(24, 16, 3)
+    m = centres[np.arange(2400) % 24] + np.random.default_rng(4).normal(size=(2400, 16)) * 0.03
+    m[[5, 700]] = 0  # without a direction
+    m[9] = m[33]
+    items = vec_df(spark, m, "item_id").unionByName(spark.createDataFrame([(9999, None)], "item_id bigint, vector array<double>"))
+    q = np.vstack([m[:60], unit(5, 16, 8), np.zeros((1, 16))])
+    params = replace(RetrievalParams(), item_block_rows=40, query_chunk_rows=10)
+    allowed = items.where("item_id % 7 <> 3").select("item_id")
+    for limit, some in ((12, None), (70, allowed)):
+        hits, visits = retrieval.bounded_topk(vec_df(spark, q, "query_id"), items, limit, params, some)
+        want = retrieval.exact_topk(vec_df(spark, q, "query_id"), items, limit, replace(params, item_block_rows=10_000), allowed=some)
+        key = lambda df: sorted((h.query_id, h["rank"], h.item_id, round(h.score, 9)) for h in df.collect())
+        assert key(hits) == key(want)
+        work = visits.where("query_id < 60").agg(F.sum("items")).first()[0]
+        assert work < 0.4 * 60 * len(m)
+    for n in (0, 1, 3):  # fewer items than asked for, and none
+        few = items.where(F.col("item_id") < n)
+        assert retrieval.bounded_topk(vec_df(spark, q[:4], "query_id"), few, 12, params)[0].count() == 4 * n
+    same = retrieval.nearest_items(vec_df(spark, q, "query_id"), items, 12, params)
+    assert {(h.query_id, h["rank"], h.item_id) for h in same.collect()} == {(h.query_id, h["rank"], h.item_id) for h in retrieval.nearest_items(vec_df(spark, q, "query_id"), items, 12).collect()}
+
+
 def test_cell_search_recall(spark):
     centres = unit(12, 16, 3)
     noise = np.random.default_rng(4).normal(size=(600, 16)) * 0.15
