@@ -18,7 +18,7 @@ _WORD = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s{_LE
 _UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-įı-ňŊ-ſ‐-‧€]")
 
 #: Bytes that remembered words and their results may take in a worker, about; a word that would take more than a hundredth isn't kept.
-CACHED_BYTES = 64 << 20
+CACHED_BYTES = 80 << 20
 _ENTRY_BYTES = 100
 
 
