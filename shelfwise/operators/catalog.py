@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from shelfwise.operators.scan import quantiles
 from shelfwise.functions import pricing
 from shelfwise.params import EligibilityParams
 from shelfwise.sources.bindings import Tables
@@ -83,11 +84,15 @@ def category_prices(catalog: DataFrame) -> DataFrame:
 
 
 def price_statistics(catalog: DataFrame) -> DataFrame:
-    """Median and deviation for every category and for the whole catalog, in one pass."""
-    return catalog.groupingSets([["category_name"], []], "category_name").agg(
-        F.grouping("category_name").alias("whole_catalog"), F.count(F.lit(1)).alias("products"),
-        F.median("effective_price").alias("median_price"), F.stddev_pop("effective_price").alias("std_price"),
+    """Median and deviation for every category and for the whole catalog."""
+    spread = catalog.groupingSets([["category_name"], []], "category_name").agg(
+        F.grouping("category_name").alias("whole_catalog"), F.count(F.lit(1)).alias("products"), F.stddev_pop("effective_price").alias("std_price"),
     ).where("whole_catalog = 1 OR category_name IS NOT NULL")
+    named = catalog.where("category_name IS NOT NULL")
+    by_category = quantiles(named, ["category_name"], "effective_price", [0.5]).select("category_name", F.lit(0).alias("whole"), F.col("p")[0].alias("median_price"))
+    everything = quantiles(catalog, [], "effective_price", [0.5]).select(F.lit(None).cast("string").alias("category_name"), F.lit(1).alias("whole"), F.col("p")[0].alias("median_price"))
+    medians = by_category.union(everything).withColumnRenamed("category_name", "of")
+    return spread.join(medians, F.col("category_name").eqNullSafe(F.col("of")) & (F.col("whole_catalog") == F.col("whole")), "left").drop("of", "whole")
 
 
 def category_relative_price(catalog: DataFrame) -> DataFrame:

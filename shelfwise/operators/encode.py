@@ -3,18 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.functions import pricing
+from shelfwise.operators.scan import running_totals
 from shelfwise.params import PRICE_TIERS
 
 
 def vocabulary(values: DataFrame, column: str) -> DataFrame:
-    """Sorted distinct non-empty values numbered from 1; 0 is left for unknown ones. Vocabularies are attribute
-    values, not rows, so numbering them in one window is fine."""
+    """Sorted distinct non-empty values numbered from 1; 0 is left for unknown ones."""
     distinct = values.select(F.col(column).alias("value")).where("value IS NOT NULL AND value <> ''").distinct()
-    return distinct.withColumn("idx", F.row_number().over(W.partitionBy(F.lit(0)).orderBy("value")).cast("bigint"))
+    return running_totals(distinct, [], [F.col("value")], out="idx")
 
 
 def tier_vocabulary(spark: SparkSession) -> DataFrame:

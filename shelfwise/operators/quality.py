@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.scan import quantiles
 from shelfwise.operators.catalog import purchases
 from shelfwise.sources.bindings import COUNTED_ORDER_STATUSES, Tables
 
@@ -82,11 +83,11 @@ def duplicate_keys(df: DataFrame, keys: list[str], table: str) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, column: str, name: str) -> DataFrame:
-    """Exact quantiles from value counts: the quantile state holds distinct values, not rows."""
-    freq = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("x")).agg(F.count(F.lit(1)).alias("n"))
-    p = F.percentile("x", F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75, 0.95)]), F.col("n"))
-    agg = freq.agg(F.sum("n").alias("rows"), F.min("x").alias("min"), F.max("x").alias("max"), (F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("mean"), p.alias("p"))
-    return agg.select(F.lit(name).alias("what"), "rows", "min", F.col("p")[0].alias("p25"), F.col("p")[1].alias("median"), "mean", F.col("p")[2].alias("p75"), F.col("p")[3].alias("p95"), "max")
+    """Range, mean and exact quantiles; no task holds the column's values."""
+    values = df.where(F.col(column).isNotNull()).select(F.col(column).cast("double").alias("x"))
+    agg = values.agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("min"), F.max("x").alias("max"), F.avg("x").alias("mean"))
+    agg = agg.withColumn("p", quantiles(values, [], "x", [0.25, 0.5, 0.75, 0.95]).select("p").scalar())
+    return agg.select(F.lit(name).alias("what"), F.when(F.col("n") > 0, F.col("n")).alias("rows"), "min", F.col("p")[0].alias("p25"), F.col("p")[1].alias("median"), "mean", F.col("p")[2].alias("p75"), F.col("p")[3].alias("p95"), "max")
 
 
 def availability_cube(products: DataFrame) -> DataFrame:

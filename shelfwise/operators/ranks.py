@@ -3,25 +3,20 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-ID_BUCKET = 65_536
+from shelfwise.operators.scan import running_totals
+from shelfwise.sources.stage import stage
 
-
-def popularity_rank(products: DataFrame, group: list[str], id_bucket: int = ID_BUCKET) -> DataFrame:
-    """Total rank by purchases desc, cart adds desc, id asc, within `group` (empty: the whole catalog),
-    plus the group's size. Ranks are computed inside cells of equal popularity and neighbouring ids (at most
-    `id_bucket` rows) and shifted by the number of rows in the cells before, so no task sorts a whole group."""
-    cell = [*group, "purchase_count", "cart_add_count", "id_cell"]
-    rows = products.withColumn("id_cell", F.floor(F.col("product_id") / id_bucket))
-    within = F.row_number().over(W.partitionBy(*cell).orderBy("product_id"))
-    sizes = rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("cell_rows"))
-    whole = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
-    order = whole.orderBy(F.col("purchase_count").desc(), F.col("cart_add_count").desc(), "id_cell")
-    sizes = sizes.select(*cell, (F.sum("cell_rows").over(order) - F.col("cell_rows")).alias("ahead"), F.sum("cell_rows").over(whole).alias("group_size"))
-    return rows.withColumn("within", within).join(sizes, cell).withColumn(
-        "rank", (F.col("within") + F.col("ahead")).cast("bigint")).drop("within", "ahead", "id_cell")
+def popularity_rank(products: DataFrame, group: list[str]) -> DataFrame:
+    """Total rank by purchases desc, cart adds desc, id asc, within `group` (empty: the whole catalog), plus the group's size."""
+    order = [F.col("purchase_count").desc(), F.col("cart_add_count").desc(), F.col("product_id")]
+    ranked = running_totals(products, group, order, out="rank")
+    if not group:
+        return ranked.withColumn("group_size", products.agg(F.count(F.lit(1)).alias("n")).scalar())
+    # Staged, so that Spark can split the join of a large group.
+    sizes = stage(products.groupBy(*group).agg(F.count(F.lit(1)).alias("group_size")), "group_sizes")
+    return ranked.join(sizes, group)
 
 
 def rank_score(rank: Column, size: Column) -> Column:

@@ -3,10 +3,11 @@
 import random
 from datetime import datetime, timedelta
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import history, loo, ranks, temporal
+from shelfwise.operators import history, loo, ranks, scan, temporal
 from shelfwise.operators.running import totals_before, vector_totals_before
 from shelfwise.operators.skew import salted_join
 
@@ -119,7 +120,7 @@ def test_popularity_rank_equals_global_sort(spark):
     rows = [(i, rng.choice("xyz"), rng.choice([0, 0, 0, 1, 2]), rng.choice([0, 0, 3])) for i in range(500)]
     df = spark.createDataFrame(rows, "product_id bigint, g string, purchase_count bigint, cart_add_count bigint")
     want = {r[0]: n + 1 for n, r in enumerate(sorted(rows, key=lambda r: (-r[2], -r[3], r[0])))}
-    got = ranks.popularity_rank(df, [], id_bucket=16).collect()
+    got = ranks.popularity_rank(df, []).collect()
     assert {r.product_id: r["rank"] for r in got} == want and {r.group_size for r in got} == {500}
 
 
@@ -148,6 +149,41 @@ def test_text_mentions_equal_substring_search(spark):
     assert got == want and got
 
 
+def test_running_totals_and_quantiles_without_one_task(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice(["a", "a", "a", "b", None]), i, rng.randrange(40) / 8 if i % 9 else None, rng.randrange(5)) for i in range(400)] + [("alone", 1000, 2.5, 1), ("none", 1001, None, 1)]
+    df = spark.createDataFrame(rows, "g string, id bigint, x double, v int")
+    for group in ([], ["g"]):
+        got = {r["id"]: (r["upto"], r["place"]) for r in scan.running_totals(scan.running_totals(df, group, [F.col("id").desc()], "v"), group, [F.col("id").desc()], out="place").collect()}
+        want = {i: (sum(w for h, j, _, w in rows if j >= i and (h == g or not group)), sum(j >= i and (h == g or not group) for h, j, _, _ in rows)) for g, i, _, _ in rows}
+        assert got == want
+        parts = {r["g"] if group else 0: r["p"] for r in scan.quantiles(df, group, "x", [0.0, 1 / 3, 0.5, 0.95, 1.0]).collect()}
+        for g in {r[0] for r in rows} - {"none"} if group else {0}:
+            values = [x for h, _, x, _ in rows if x is not None and (not group or h == g)]
+            assert parts[g] == pytest.approx(np.quantile(values, [0.0, 1 / 3, 0.5, 0.95, 1.0]).tolist())
+        assert "none" not in parts
+    assert scan.running_totals(df.limit(0), [], [F.col("id")]).count() == 0
+    assert scan.quantiles(df.limit(0), [], "x", [0.5]).first()["p"] == [None] and scan.quantiles(df.limit(0), ["g"], "x", [0.5]).count() == 0
+
+
+def test_no_task_holds_all_distinct_prices(spark):
+    """A column of distinct values: what the largest task of the running count gets, and no window or state over all rows."""
+    df = spark.range(40_000).selectExpr("id", "(id * 7919) % 40000 + 0.5 AS x")
+    totals = scan.running_totals(df, [], [F.col("x")], out="n")
+    sizes = [r["count"] for r in stage_ranges(totals).collect()]
+    assert len(sizes) >= 3 and max(sizes) < 0.6 * 40_000 and totals.where("n <> x + 0.5").count() == 0
+    assert scan.quantiles(df, [], "x", [0.25, 0.5]).first()["p"] == pytest.approx([10000.25, 20000.0], abs=1)
+    for frame in (totals, scan.quantiles(df, [], "x", [0.5]), ranks.popularity_rank(df.selectExpr("id AS product_id", "x AS purchase_count", "1 AS cart_add_count"), [])):
+        text = frame._jdf.queryExecution().executedPlan().toString()
+        assert "ercentile" not in text
+        assert all("_range" in line for line in text.splitlines() if "Window [" in line)
+
+
+def stage_ranges(totals):
+    """Rows of each range of a running total."""
+    return totals.sparkSession.read.parquet(*{f.rsplit("/", 1)[0] for f in totals.inputFiles()}).groupBy("_range").count()
+
+
 def test_text_mentions_of_odd_names_and_long_texts(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice("abé") for _ in range(rng.randrange(1, 5)))
