@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from shelfwise.operators.scan import running_totals
+
 
 def _ideal(relevant: Column, k: int) -> Column:
     top = F.least(relevant, F.lit(k)).cast("int")
@@ -68,3 +70,13 @@ def paired_hits(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
     """How often only one of two arms hits within k, both, or neither."""
     j = a.select("case_id", (F.col(f"hit_{k}") > 0).alias("hit_a")).join(b.select("case_id", (F.col(f"hit_{k}") > 0).alias("hit_b")), "case_id")
     return j.groupBy("hit_a", "hit_b").agg(F.count(F.lit(1)).alias("cases"))
+
+
+def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
+    """One row (auc, positives, negatives): the share of pairs of a positive and a negative row in which the positive scores
+    higher, ties counting half; NULL without either kind. From ranks: a running count over distinct scores gives every score its mean rank."""
+    counts = rows.where(F.col(score).isNotNull()).groupBy(F.col(score).alias("_s")).agg(F.count(F.lit(1)).alias("_n"), F.sum((F.col(label) > 0).cast("bigint")).alias("_pos"))
+    ranked = running_totals(counts, [], [F.col("_s")], "_n", "_upto")
+    sums = ranked.agg(F.sum(F.col("_pos") * (F.col("_upto") - (F.col("_n") - 1) / 2)).alias("r"), F.coalesce(F.sum("_pos"), F.lit(0)).alias("positives"), F.coalesce(F.sum(F.col("_n") - F.col("_pos")), F.lit(0)).alias("negatives"))
+    p, n = F.col("positives"), F.col("negatives")
+    return sums.select(F.when((p > 0) & (n > 0), (F.col("r") - p * (p + 1) / 2) / (p.cast("double") * n)).alias("auc"), "positives", "negatives")

@@ -22,8 +22,12 @@ P = DEFAULTS
 
 
 def fresh_path(t, name):
+    """A new path in the shared folder."""
     import uuid
-    return f"{stage_root(t.spark)}/shelfwise/{name}-{uuid.uuid4().hex}"
+    root = stage_root(t.spark)
+    if root is None:
+        raise ValueError("stored tables need a folder that all machines share: set spark.checkpoint.dir")
+    return f"{root}/shelfwise/{name}-{uuid.uuid4().hex}"
 
 
 # --- foreign keys and consistency -------------------------------------------------------------------

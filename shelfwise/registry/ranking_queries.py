@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfwise.functions import vectors
 from shelfwise.operators import catalog, encode, metrics, ranking, retrieval, temporal
+from shelfwise.operators.perceptron import Perceptron
 from shelfwise.operators.textvec import fit_hashing_encoder
 from shelfwise.params import DEFAULTS
 from shelfwise.plans import evaluate, examples, features, ranker, serve
@@ -267,6 +268,47 @@ def _(t):
     return out.withColumn("loss", r("loss"))
 
 
+# --- a model with fixed weights, which SQL repeats -------------------------------------------------
+_INPUTS = ("effective_price", "purchase_count", "cart_add_count", "category_relative_price")
+FIXED_MODEL = Perceptron((1000.0, 1.0, 1.0, 0.5), (0.002, 0.75, 0.5, 3.0),
+                         ((((0.5, 1.0, -0.25, 0.125), (-0.75, 0.25, 0.5, 1.5), (0.25, -0.5, 1.0, -1.0)), (0.1, -0.2, 0.3)), (((1.0, -0.5, 0.25), (-0.75, 1.25, 0.5)), (0.05, -0.05))))
+
+
+def perceptron_sql(model, inputs):
+    """The score as SQL arithmetic over the named columns."""
+    x = [f"((coalesce({c}, 0)::DOUBLE - {m!r}) * {s!r})" for c, m, s in zip(inputs, model.mean, model.scale)]
+    for n, (weights, biases) in enumerate(model.layers):
+        z = [" + ".join([f"{w!r} * {v}" for w, v in zip(row, x)] + [repr(b)]) for row, b in zip(weights, biases)]
+        x = [f"(1 / (1 + exp(-({t}))))" for t in z] if n + 1 < len(model.layers) else [f"({t})" for t in z]
+    return f"1 / (1 + exp({x[0]} - {x[1]}))"
+
+
+CTES["x_fixedmodel"] = f"SELECT product_id, category_name, eligible, {perceptron_sql(FIXED_MODEL, _INPUTS)} AS p FROM x_pf"
+
+
+def fixed_model_scores(t):
+    """Products with the fixed model's score `p`, staged for the rankings below."""
+    f = catalog.product_features(t, t.events)
+    return stage(f.select("product_id", "category_name", "eligible", FIXED_MODEL.score([F.coalesce(F.col(c), F.lit(0)) for c in _INPUTS]).alias("p")), "fixed_scores")
+
+
+@query("fixed_model_order", "E8 J2", """
+  SELECT query_id, item_id, position, round(p, 6) AS model_score FROM (
+    SELECT category_name AS query_id, product_id AS item_id, p, row_number() OVER (PARTITION BY category_name ORDER BY p DESC, product_id) AS position FROM x_fixedmodel WHERE category_name IS NOT NULL)""")
+def _(t):
+    scored = fixed_model_scores(t).where("category_name IS NOT NULL").select(F.col("category_name").alias("query_id"), F.col("product_id").alias("item_id"), F.col("product_id").alias("rank"), F.col("p").alias("model_score"))
+    return ranking.order_by_model(scored).select("query_id", "item_id", long("position").alias("position"), r("model_score").alias("model_score"))
+
+
+@query("fixed_model_auc", "I11", """
+  WITH ranked AS (SELECT eligible, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0 AS place FROM x_fixedmodel),
+  sums AS (SELECT sum(place) FILTER (eligible) AS s, count(*) FILTER (eligible) AS p, count(*) FILTER (NOT eligible) AS n FROM ranked)
+  SELECT round((s - p * (p + 1) / 2.0) / (p * n), 6) AS auc, p AS positives, n AS negatives FROM sums""")
+def _(t):
+    got = metrics.auc(fixed_model_scores(t).withColumn("label", F.col("eligible").cast("int")), "p", "label")
+    return got.select(r("auc").alias("auc"), long("positives").alias("positives"), long("negatives").alias("negatives"))
+
+
 # --- models: no SQL form, invariants are tested ---------------------------------------------------
 @query("ranker_quality", "I10 I11")
 def _(t):
@@ -344,3 +386,16 @@ def _(t):
     texts = l.open_searches.select("text").unionByName(l.summaries.select("text"))
     f = examples.loo_features(t, l, cat, text_vectors=fit_hashing_encoder(texts, EMBEDDING_DIM)(texts))
     return f.select("example_id", "user_id", F.col("vector").isNotNull().alias("has_vector"), "typical_price", "total_engagement_events")
+
+
+@query("stored_feature_contract", "B25", "SELECT position, name, position AS expected FROM (VALUES " + ", ".join(f"({i}::BIGINT, '{n}')" for i, n in enumerate(ranking.FEATURES, 1)) + ") v(position, name) WHERE (SELECT count(*) FROM x_pf) > 0")
+def _(t):
+    """Names of the feature columns as they come out of stored ranking rows, beside the places the model expects them in."""
+    cat, l, f = loo_ranking(t)
+    hits = ranker._search(f.where("example_id < 0"), t.embeddings, 5, P)
+    cand = hits.select(F.col("query_id").alias("example_id"), F.col("item_id").alias("product_id"), F.col("score").alias("retrieval_score"), (F.col("rank") - 1).alias("retrieval_rank"))
+    rows = stage(ranking.feature_rows(cand, f, cat.features, t.embeddings, 5), "contract_rows")
+    saved = [c for c in rows.columns if c not in ("example_id", "product_id")]
+    ranking.check_feature_columns(saved)
+    names = [(i, n, list(ranking.FEATURES).index(n) + 1) for i, n in enumerate(saved, 1)]
+    return t.spark.createDataFrame(names, "position bigint, name string, expected bigint").where(F.lit(not rows.isEmpty()))

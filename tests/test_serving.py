@@ -5,12 +5,16 @@ from dataclasses import replace
 
 import numpy as np
 import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.classification import MultilayerPerceptronClassifier
+from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from shelfwise.operators import candidates, eligibility, metrics, ranking, ranks, rerank, retrieval
+from shelfwise.operators import candidates, eligibility, metrics, perceptron, ranking, ranks, rerank, retrieval
 from shelfwise.operators.textvec import fit_hashing_encoder
 from shelfwise.params import DEFAULTS, EligibilityParams, Reranking, RetrievalParams
-from shelfwise.plans import serve
+from shelfwise.plans import ranker, serve
 from shelfwise.plans.features import Catalog
 from shelfwise.sources import embedding_store, reports, snapshots
 from shelfwise.sources.stage import stage_root
@@ -68,6 +72,37 @@ def test_restricted_search_returns_only_allowed_and_caps_k(spark):
         retrieval.exact_topk(vec_df(spark, unit(1, 8, 1), "query_id"), vec_df(spark, unit(3, 8, 2), "item_id"), 0)
 
 
+def test_a_compiled_perceptron_scores_like_the_fitted_one(spark):
+    rng = np.random.default_rng(6)
+    data = [(float(int(a + 2 * b - c > 0)), float(a), float(3 * b + 1), float(c), 5.0) for a, b, c in rng.normal(size=(300, 3))]
+    df = spark.createDataFrame(data, "label double, a double, b double, c double, flat double")
+    net = MultilayerPerceptronClassifier(layers=[4, 6, 3, 2], maxIter=15, seed=1)
+    model = Pipeline(stages=[VectorAssembler(inputCols=["a", "b", "c", "flat"], outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), net]).fit(df)
+    both = model.transform(df).select(vector_to_array("probability")[1].alias("p"), perceptron.compiled(model).score([F.col(c) for c in ("a", "b", "c", "flat")]).alias("q")).collect()
+    assert all(r.p == pytest.approx(r.q, abs=1e-9) for r in both) and len({r.q for r in both}) > 100
+    with pytest.raises(ValueError):
+        perceptron.compiled(model).score([F.col("a")])
+
+
+def test_auc_counts_pairs_with_ties(spark):
+    rng = np.random.default_rng(7)
+    rows = [(float(s), int(y)) for s, y in zip(rng.integers(0, 12, 200) / 4, rng.integers(0, 2, 200))]
+    got = metrics.auc(spark.createDataFrame(rows + [(None, 1)], "s double, y int"), "s", "y").first()
+    pairs = [(a > b) + (a == b) / 2 for a, y in rows if y for b, z in rows if not z]
+    assert got.auc == pytest.approx(np.mean(pairs)) and got.positives * got.negatives == len(pairs)
+    assert metrics.auc(spark.createDataFrame([(1.0, 1)], "s double, y int"), "s", "y").first().auc is None
+
+
+def test_factors_of_ids_beyond_32_bits(spark):
+    rows = [((1 << 40) + u, (1 << 35) + p, "PURCHASE") for u in range(12) for p in range(10) if (u + p) % 2 == 0]
+    users, items = ranker.interaction_factors(spark.createDataFrame(rows, "user_id bigint, product_id bigint, action_type string"), rank=4)
+    u, i = ({r[0]: np.array(r[1]) for r in df.collect()} for df in (users, items))
+    assert set(u) == {r[0] for r in rows} and set(i) == {r[1] for r in rows}
+    bought = {(a, b) for a, b, _ in rows}
+    mean = lambda own: np.mean([u[a] @ i[b] for a in u for b in i if ((a, b) in bought) == own])
+    assert mean(True) > mean(False) + 0.3
+
+
 def test_bounded_search_equals_full_search_with_less_work(spark):
     centres = unit(24, 16, 3)
     m = centres[np.arange(2400) % 24] + np.random.default_rng(4).normal(size=(2400, 16)) * 0.03
