@@ -10,11 +10,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from shelfwise.operators import candidates as cand
-from shelfwise.operators import eligibility, rerank, retrieval
+from shelfwise.operators import eligibility, quality, rerank, retrieval
 from shelfwise.params import DEFAULTS, Params
 from shelfwise.plans.features import Catalog
 from shelfwise.sources.stage import stage
 
+#: Parts into which the users of one group are split where they meet the group's list.
+_PARTS = 32
 _LISTS = ("example_id", "position", "product_id", "score", "source")
 
 
@@ -84,13 +86,25 @@ def _fallback_pools(groups: DataFrame, top_global: DataFrame, top_category: Data
     return cand.waterfall(rows, "group_id", pool)
 
 
+def _to_members(members: DataFrame, lists: DataFrame) -> DataFrame:
+    """Every member with the rows of its group. One group may hold most of the users, so groups are joined in parts; lists are
+    at most one pool long, and only they are repeated."""
+    part = F.pmod(F.xxhash64("example_id"), F.lit(_PARTS)).cast("int")
+    copies = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(_PARTS - 1))))
+    return members.withColumn("_part", part).join(copies, ["group_id", "_part"]).drop("_part")
+
+
 def recommend(features: DataFrame, cat: Catalog, embeddings: DataFrame, params: Params = DEFAULTS, top_n: int | None = None,
-              scorer: Callable[[DataFrame], DataFrame] | None = None, final_catalog: DataFrame | None = None) -> Recommendations:
+              scorer: Callable[[DataFrame], DataFrame] | None = None, final_catalog: DataFrame | None = None, dim: int | None = None) -> Recommendations:
     """Tier by history, candidates per tier, diversity re-ranking, final eligibility check, top N.
 
+    Vectors and user rows that are not fit for serving are refused with `quality.UnfitTable` before anything is ranked.
+
     `features` (one row per example) should be staged. Users without history, and those with a long one for whom nothing
     is retrieved, get one common list per pair of categories, built and re-ranked once and joined back at the end."""
     top_n = top_n or params.top_n
+    quality.require_vectors(embeddings, cat.features, dim)
+    quality.require_profiles(features, embeddings, dim)
     eligible = cat.features.where("eligible")
     n_eligible, n_catalog = eligible.count(), cat.features.count()
     feats = features.withColumn("tier", cand.history_tier(F.col("total_engagement_events"), params.cold_start))
@@ -116,12 +130,10 @@ def recommend(features: DataFrame, cat: Catalog, embeddings: DataFrame, params:
     # Users with a long history but nothing retrieved (no vector, or none near it) get the shared lists too.
     unanswered = feats.where("tier = 'strong'").join(own.select("example_id").distinct(), "example_id", "left_anti")
     idle = feats.where("tier = 'no_history'").unionByName(unanswered).select("example_id", "preferred_category", "top_category")
-    # at most (categories + 1)^2 groups, numbered in order; NULL categories are values of their own
-    kinds = idle.select("preferred_category", "top_category").distinct()
-    groups = stage(kinds.withColumn("group_id", F.row_number().over(W.orderBy("preferred_category", "top_category")).cast("bigint")), "groups")
-    named = F.broadcast(groups.toDF("_preferred", "_top", "group_id"))
-    idle = idle.join(named, F.col("preferred_category").eqNullSafe(F.col("_preferred")) & F.col("top_category").eqNullSafe(F.col("_top"))).select("example_id", "group_id")
-    groups = groups.select("group_id", "preferred_category", "top_category")
+    # A group is named by its two categories; NULL is a value of its own.
+    idle = idle.withColumn("group_id", F.to_json(F.array("preferred_category", "top_category")))
+    groups = stage(idle.select("group_id", "preferred_category", "top_category").distinct(), "groups")
+    idle = idle.select("example_id", "group_id")
     fallback = _fallback_pools(groups, *lists, pool, params)
 
     attrs = cat.features.select("product_id", "category_name", "brand")
@@ -134,16 +146,16 @@ def recommend(features: DataFrame, cat: Catalog, embeddings: DataFrame, params:
     checked_shared = _final_check(ranked_shared, "group_id", current, params, top_n)
     keep = ["example_id", "rank", "product_id", "score", "source"]
     items = checked_own.where("final_rank <= %d" % top_n).select("example_id", F.col("final_rank").alias("rank"), *keep[2:]).unionByName(
-        members.join(checked_shared.where("final_rank <= %d" % top_n), "group_id").select("example_id", F.col("final_rank").alias("rank"), *keep[2:]))
-    reranked = ranked_own.select(*keep).unionByName(members.join(ranked_shared, "group_id").select(*keep))
-    pools = own_pool.unionByName(members.join(fallback, "group_id").select(*_LISTS))
+        _to_members(members, checked_shared.where("final_rank <= %d" % top_n)).select("example_id", F.col("final_rank").alias("rank"), *keep[2:]))
+    reranked = ranked_own.select(*keep).unionByName(_to_members(members, ranked_shared).select(*keep))
+    pools = own_pool.unionByName(_to_members(members, fallback).select(*_LISTS))
 
     before_own = ranked_own.groupBy("example_id").agg(F.count(F.lit(1)).alias("num_before_eligibility"))
     kept_own = checked_own.groupBy("example_id").agg(F.count(F.lit(1)).alias("kept"))
     before_shared = ranked_shared.groupBy("group_id").agg(F.count(F.lit(1)).alias("num_before_eligibility"))
     kept_shared = checked_shared.groupBy("group_id").agg(F.count(F.lit(1)).alias("kept"))
     sizes = before_own.join(kept_own, "example_id", "left").unionByName(
-        members.join(before_shared.join(kept_shared, "group_id", "left"), "group_id").drop("group_id"))
+        _to_members(members, before_shared.join(kept_shared, "group_id", "left")).drop("group_id"))
     return Recommendations(items, _meta(feats, sizes, pool, n_catalog, n_eligible, top_n), pools, reranked)
 
 

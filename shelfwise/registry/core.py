@@ -12,6 +12,7 @@ from shelfwise.registry.ctes import CTES
 from shelfwise.sources import bindings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+BODIES: dict[str, Callable[[bindings.Tables], DataFrame]] = {}
 SQL: dict[str, str] = {}
 SURVEY_IDS: dict[str, str] = {}
 
@@ -24,6 +25,7 @@ def query(name: str, ids: str, sql: str | None = None):
             raise ValueError(f"query {name} is registered twice")
         QUERIES[name] = lambda spark, root: fn(bindings.load(spark, root))
         SURVEY_IDS[name] = ids
+        BODIES[name] = fn
         if sql is not None:
             SQL[name] = compose(sql)
         return fn

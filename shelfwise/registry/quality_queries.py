@@ -9,12 +9,12 @@ from shelfwise.operators import affinity, catalog, eligibility, encode, history,
 from shelfwise.operators import candidates as cand
 from shelfwise.params import DEFAULTS
 from shelfwise.plans import evaluate, features, serve
-from shelfwise.registry import serve_queries
+from shelfwise.registry import catalog_queries, core, feature_queries, serve_queries  # noqa: F401
 from shelfwise.registry.core import long, query, r, ts_text
 from shelfwise.registry.ctes import CTES
 from shelfwise.registry.ranking_queries import loo_eval, loo_ranking
 from shelfwise.registry.temporal_queries import KS, long_metrics, metric_sql
-from shelfwise.sources import embedding_store, reports, snapshots
+from shelfwise.sources import embedding_store, mapped, reports, snapshots
 from shelfwise.sources.bindings import EMBEDDING_DIM
 from shelfwise.sources.stage import stage, stage_root
 
@@ -233,6 +233,47 @@ def _(t):
     return p.withColumn("stock_quantity", long("stock_quantity")).withColumn("is_active", long("is_active"))
 
 
+#: A store with names of its own: ids as text, prices in cents, and orders and carts in one folder.
+SHOP = {
+    "categories": mapped.Stored("groups", "id string, label string, above string", {"category_id": "id", "name": "label", "parent_id": "above"}),
+    "products": mapped.Stored("articles", "id string, grp string, slug string, title string, about string, maker string, cents bigint, saleCents bigint, off double, stock int, made_of string, live boolean", {
+        "product_id": "id", "category_id": "grp", "name": "title", "description": "about", "brand": "maker", "price": "cents / 100", "sale_price": "saleCents / 100",
+        "discount_percentage": "off", "stock_quantity": "stock", "ingredients": "made_of", "is_active": "int(live)"}),
+    "users": mapped.Stored("people", "id string, likes string, age string", {"user_id": "id", "preferred_category_id": "likes", "age_group": "age"}),
+    "events": mapped.Stored("log", "id bigint, who string, what string, did string, at timestamp_ntz", {
+        "event_id": "id", "user_id": "who", "product_id": "what", "action_type": "upper(did)", "action_time": "at"}),
+    "orders": mapped.Stored("baskets", "id string, who string, state string, at timestamp_ntz", {"order_id": "id", "user_id": "who", "status": "state", "created_at": "at"}),
+    "carts": mapped.Stored("baskets", "id string, who string, state string", {"cart_id": "id", "user_id": "who"}, "state = 'O'"),
+    "order_items": mapped.Stored("basket_lines", "basket string, n int, what string, pieces double, each double", {"order_id": "basket", "line": "n", "product_id": "what", "quantity": "pieces", "unit_price": "each"}),
+    "cart_items": mapped.Stored("basket_lines", "basket string, what string, pieces double", {"cart_id": "basket", "product_id": "what", "quantity": "pieces"}),
+    "reviews": mapped.Stored("opinions", "who string, what string, stars double, at timestamp_ntz", {"user_id": "who", "product_id": "what", "rating": "stars", "created_at": "at"}),
+}
+
+
+def as_shop(t, path):
+    """The tables saved as such a store, and bound through its mapping."""
+    text_id, cents, c = (lambda x: F.col(x).cast("string")), (lambda x: F.round(F.col(x) * 100).cast("bigint")), F.col
+    snapshots.save({
+        "groups": t.categories.select(text_id("category_id").alias("id"), c("name").alias("label"), text_id("parent_id").alias("above")),
+        "articles": t.products.select(text_id("product_id").alias("id"), text_id("category_id").alias("grp"), "slug", c("name").alias("title"), c("description").alias("about"), c("brand").alias("maker"),
+                                      cents("price").alias("cents"), cents("sale_price").alias("saleCents"), c("discount_percentage").alias("off"), c("stock_quantity").alias("stock"),
+                                      c("ingredients").alias("made_of"), c("is_active").cast("boolean").alias("live")),
+        "people": t.users.select(text_id("user_id").alias("id"), text_id("preferred_category_id").alias("likes"), c("age_group").alias("age")),
+        "log": t.events.select(c("event_id").alias("id"), text_id("user_id").alias("who"), text_id("product_id").alias("what"), F.lower("action_type").alias("did"), c("action_time").alias("at")),
+        "baskets": t.orders.select(text_id("order_id").alias("id"), text_id("user_id").alias("who"), c("status").alias("state"), c("created_at").cast("timestamp_ntz").alias("at")),
+        "basket_lines": t.order_items.select(text_id("order_id").alias("basket"), c("line").alias("n"), text_id("product_id").alias("what"), c("quantity").alias("pieces"), c("unit_price").alias("each")),
+        "opinions": t.reviews.select(text_id("user_id").alias("who"), text_id("product_id").alias("what"), c("rating").alias("stars"), c("created_at").cast("timestamp_ntz").alias("at")),
+    }, path)
+    return mapped.load(t.spark, path, SHOP)
+
+
+for _base, _ids in (("product_features", "A18 D4"), ("engagement_counts", "A18 D14"), ("user_price_profile", "A18 D7"), ("cart_contents", "A18 C5"), ("engagement_profile_rows", "A18 C6")):
+    @query(f"shop_{_base}", _ids)
+    def _(t, _base=_base):
+        return core.BODIES[_base](as_shop(t, fresh_path(t, "shop")))
+    core.SQL[f"shop_{_base}"] = core.SQL[_base]
+
+
 @query("embedding_store_roundtrip", "A11 A13", "SELECT vec_id AS product_id, pos, round(v, 6) AS value FROM (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS pos, unnest(embedding)::DOUBLE AS v FROM embeddings)")
 def _(t):
     path = fresh_path(t, "vectors")
