@@ -10,18 +10,21 @@ truncation and budget questions need no further encoding.
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from shelfwise.llm import wordbpe
 from shelfwise.llm.arrow import per_batch, texts
 
 VOCABULARY = "word_bpe_49k.json"
 TOKEN_LIMIT = 2048
+#: Contractions whose prefixes are no single pre-tokens.
+_CUT_APART = frozenset(("'re", "'ve", "'ll"))
 
 
 class PrefixCounts:
@@ -81,35 +84,131 @@ class PrefixCounts:
     def total(self, text: str) -> int:
         return sum(map(self.counts.__getitem__, self.words.split(text)))
 
+    def inner(self, word: str) -> tuple[int, ...]:
+        """Tokens of every prefix of a pre-token, cut as a text of its own is cut: a cut contraction is an apostrophe and letters."""
+        if word in _CUT_APART:
+            return tuple(sum(self.counts[w] for w in self.words.split(word[:n])) for n in range(1, len(word) + 1))
+        return self.tables[word]
+
     def table(self, text: str) -> tuple[list[int], list[int]]:
-        """(code point where each pre-token ends, tokens up to there)."""
-        ends, tokens = [], []
+        """(code point where each pre-token ends, tokens up to there). Pre-tokens that come from one character are one."""
+        ends, tokens, used = [], [], 0
         for word, end in self.words.spans(text):
-            ends.append(end)
-            tokens.append(self.counts[word])
-        return ends, list(accumulate(tokens))
+            used += self.counts[word]
+            if ends and ends[-1] == end:
+                tokens[-1] = used
+            else:
+                ends.append(end)
+                tokens.append(used)
+        return ends, tokens
+
+    def _inside(self, text: str, ends: list[int], tokens: list[int], k: int) -> list[int]:
+        """Tokens of text[:n] for each n behind the end of pre-token k - 1 up to the end of pre-token k."""
+        start, end = (ends[k - 1] if k else 0), ends[k]
+        before, part = (tokens[k - 1] if k else 0), text[start:end]
+        if self.words.plain(text):
+            word = part.lower().lstrip()
+            return [before] * (len(part) - len(word)) + [before + c for c in self.inner(word)]
+        return self._recomposed(part, before, start > 0 and text[start - 1] == "'") or self._cut(text, ends, tokens, k)
+
+    def _recomposed(self, part: str, before: int, quoted: bool) -> list[int] | None:
+        """The same for a stretch in unusual characters that holds one pre-token: white space, then characters that the
+        normaliser changes apart from each other. A cut inside of one continues the recurrence from the character before; not behind an
+        apostrophe (`quoted`), with which a letter without its mark may be a contraction."""
+        clean = self.words.tokenizer.normalizer.normalize_str
+        lead = 0
+        while lead < len(part) and not clean(part[lead]).strip(" "):
+            lead += 1
+        if part[lead:] in self.words.special:
+            return None
+        groups: list[tuple[str, str]] = []  # (characters, their normalised form)
+        for c in part[lead:]:
+            alone = clean(c)
+            if groups:
+                raw, form = groups[-1]
+                both = clean(raw + c)
+                if both != form + alone:
+                    groups[-1] = raw + c, both
+                    continue
+            groups.append((c, alone))
+        word = "".join(form for _, form in groups)
+        if not word or self.words.split(word) != [word] or word in _CUT_APART or not all(form for _, form in groups):
+            return None
+        whole, out, at = self.tables[word], [before] * lead, 0
+        parted = any(len(raw) > 1 for raw, _ in groups)
+        if parted and quoted:
+            return None
+        states = self._states(word) if parted else None
+        for raw, form in groups:
+            for n in range(1, len(raw)):
+                cut = clean(raw[:n])
+                if self.words.split(word[:at][-1:] + cut) != [word[:at][-1:] + cut]:
+                    return None
+                out.append(before + self._close(*states, len(word[:at].encode()), self.words.symbols(cut)))
+            at += len(form)
+            out.append(before + whole[at - 1])
+        return out
+
+    def _cut(self, text: str, ends: list[int], tokens: list[int], k: int) -> list[int]:
+        """The same by splitting each cut stretch anew, from a pre-token further on the left where k is a special string or stands
+        behind an apostrophe, as a part of it may join the signs before."""
+        b = k
+        while b and (text[ends[b - 1]:ends[b]] in self.words.special or text[ends[b - 1] - 1] == "'"):
+            b -= 1
+        start, before = (ends[b - 1], tokens[b - 1]) if b else (0, 0)
+        return [before + self.total(text[start:n]) for n in range((ends[k - 1] if k else 0) + 1, ends[k] + 1)]
+
+    def _states(self, word: str) -> tuple[str, list[int], list[int]]:
+        """(symbols, last token and number of tokens of each prefix of them, without a word end)."""
+        s, last, count = self.words.symbols(word), [-1], [0]
+        for i in range(1, len(s)):
+            t, c = self._step(s, last, count, i, "", 0)
+            last.append(t)
+            count.append(c)
+        return s, last, count
+
+    def _step(self, s: str, last: list[int], count: list[int], i: int, suffix: str, base: int) -> tuple[int, int]:
+        for j in range(max(0, i - self.longest), i):
+            t = self.words.vocab.get(s[j:i] + suffix)
+            if t is not None and (not base + j or self._apart[last[j] << 20 | t]):
+                return t, count[j] + 1
+        raise ValueError(f"no token ends {s[:i]!r}")
+
+    def _close(self, s: str, last: list[int], count: list[int], at: int, more: str) -> int:
+        """Tokens of the first `at` symbols and `more` read as a whole word; needs the last states only."""
+        base = max(0, at - self.longest)
+        s, last, count = s[base:at] + more, last[base:at + 1], count[base:at + 1]
+        for i in range(at - base + 1, len(s)):
+            t, c = self._step(s, last, count, i, "", base)
+            last.append(t)
+            count.append(c)
+        return self._step(s, last, count, len(s), self.words.end, base)[1]
+
+    def every(self, text: str) -> list[int]:
+        """Tokens of text[:n] for n = 0, 1, ..., len(text)."""
+        ends, tokens = self.table(text)
+        out = [0]
+        for k in range(len(ends)):
+            out += self._inside(text, ends, tokens, k)
+        return out + [out[-1]] * (len(text) + 1 - len(out))
 
     def at(self, text: str, length: int) -> int:
-        """Tokens of text[:length], from the table: no encoding of the cut text. Texts in unusual characters, whose
-        normalised form differs in length, are cut at the last whole pre-token and counted from there."""
-        if not self.words.plain(text):
-            return self.total(text[:length])
+        """Tokens of text[:length], from the pre-tokens before and the prefixes of the one that is cut."""
         ends, tokens = self.table(text)
-        k = bisect_right(ends, length)
-        before, used = (ends[k - 1], tokens[k - 1]) if k else (0, 0)
-        rest = text[before:length].lower().lstrip()
-        inside = [w for w in self.words.split(rest)]
-        return used + sum(self.tables[w][-1] for w in inside)
+        k = bisect_left(ends, length)
+        if length <= 0 or k == len(ends):
+            return tokens[-1] if ends and length > 0 else 0
+        return self._inside(text, ends, tokens, k)[length - 1 - (ends[k - 1] if k else 0)]
 
     def fitting(self, text: str, budget: int) -> int:
-        """Code points of the longest run of whole pre-tokens within `budget` tokens."""
+        """Code points of the longest prefix of at most `budget` tokens; it may end inside a pre-token."""
         ends, tokens = self.table(text)
         k = bisect_right(tokens, budget)
         if k == len(tokens):
             return len(text)
-        while k and ends[k - 1] == ends[k]:  # pre-tokens that come from one character go together
-            k -= 1
-        return ends[k - 1] if k else 0
+        start = ends[k - 1] if k else 0
+        inside = self._inside(text, ends, tokens, k)
+        return start + max((n for n, c in enumerate(inside, 1) if c <= budget), default=0)
 
 
 @lru_cache(maxsize=4)
@@ -118,8 +217,8 @@ def prefix_counts(name: str = VOCABULARY) -> PrefixCounts:
 
 
 def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY, limit: int = TOKEN_LIMIT) -> DataFrame:
-    """One row per row of `df`: id, n_bytes, n_tokens, over_limit, fit_chars (code points of the longest run of whole
-    pre-tokens within `limit`). NULL text counts as empty: 0 bytes, 0 tokens. Repeated rows give repeated results; an
+    """One row per row of `df`: id, n_bytes, n_tokens, over_limit, fit_chars (code points of the longest prefix
+    within `limit`). NULL text counts as empty: 0 bytes, 0 tokens. Repeated rows give repeated results; an
     empty table gives none. Other columns are not read. Narrow: no shuffle."""
 
     def run(batch):
@@ -134,11 +233,21 @@ def count_tokens(df: DataFrame, id_column: str = "doc_id", text_column: str = "t
 
 
 def prefix_tables(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
-    """The stored form: per row the pre-tokens' ends (code points) and the exact token count at each of them. NULL text
-    gives empty arrays."""
+    """The stored form: id, counts: the exact token count of text[:n] for n = 0, 1, ... up to the text's length. NULL and empty
+    texts give [0]; repeated rows give repeated results, an empty table gives none. Other columns are not read. `tokens_at` and
+    `fit_chars` answer from it."""
 
     def run(batch):
-        tables = [prefix_counts(vocabulary).table(t) for t in texts(batch)]
-        return {"id": batch.column("id"), "ends": pa.array([e for e, _ in tables], pa.list_(pa.int32())), "tokens": pa.array([n for _, n in tables], pa.list_(pa.int32()))}
+        return {"id": batch.column("id"), "counts": pa.array([prefix_counts(vocabulary).every(t) for t in texts(batch)], pa.list_(pa.int32()))}
+
+    return per_batch(df, {"id": id_column, "text": text_column}, run, f"id {dict(df.dtypes)[id_column]}, counts array<int>").withColumnRenamed("id", id_column)
+
+
+def tokens_at(counts: Column, length: Column) -> Column:
+    """Tokens of the first `length` code points (of the whole text where it is shorter), from a stored row."""
+    return F.element_at(counts, F.least(F.greatest(length, F.lit(0)) + 1, F.size(counts)))
+
 
-    return per_batch(df, {"id": id_column, "text": text_column}, run, f"id {dict(df.dtypes)[id_column]}, ends array<int>, tokens array<int>").withColumnRenamed("id", id_column)
+def fit_chars(counts: Column, budget: Column) -> Column:
+    """Code points of the longest prefix within `budget` tokens, from a stored row. Counts can fall from a prefix to a longer one, so it is the last that fits."""
+    return F.size(counts) - F.array_position(F.reverse(F.transform(counts, lambda c: c <= budget)), True)

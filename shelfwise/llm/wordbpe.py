@@ -7,6 +7,7 @@ pre-tokenizer, so the pre-tokens are always those of the library.
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 from sys import getsizeof
@@ -83,8 +84,8 @@ class Words:
         return out
 
     def spans(self, text: str) -> Iterator[tuple[str, int]]:
-        """Pre-tokens with the code point where each ends in the given text. A pre-token that the normaliser composed
-        from several code points ends where the next one starts to differ, as the library's offsets say."""
+        """Pre-tokens with the code point where each ends in the given text. Pre-tokens that the normaliser makes out of
+        the same code points, or parts by a combining mark, have one end."""
         if self.plain(text):
             for m in _WORD.finditer(text.lower()):
                 yield m.group(), m.end()
@@ -97,13 +98,28 @@ class Words:
                 e = self.tokenizer.encode(part, add_special_tokens=False)
                 clean = self.tokenizer.normalizer.normalize_str(part)
                 words = [self._text(symbols) for symbols, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(clean)]
+                starts: dict[int, int] = {}
                 ends: dict[int, int] = {}
-                for word, (_, end) in zip(e.word_ids, e.offsets):
+                for word, (start, end) in zip(e.word_ids, e.offsets):
+                    starts[word] = min(start, starts.get(word, start))
                     ends[word] = max(end, ends.get(word, 0))
-                for word, (_, end) in zip(words, sorted(ends.items()), strict=True):
+                order, limit, out = sorted(ends), len(part), []
+                for k in reversed(order):
+                    end = ends[k]
+                    while end < limit and self.tokenizer.normalizer.normalize_str(part[end]).strip(" "):
+                        end += 1  # composed with the character before; the library's offsets name that one only
+                    if out and (limit < end or limit == end and self._mixes(part[end - 1], part[end])):
+                        end = out[-1]  # the next one starts within this one's last character, or is mixed with it
+                    out.append(end)
+                    limit = starts[k]
+                for word, end in zip(words, reversed(out), strict=True):
                     yield word, at + end
             at += len(part)
 
+    def _mixes(self, before: str, after: str) -> bool:
+        clean = self.tokenizer.normalizer.normalize_str
+        return unicodedata.combining(after) > 0 or clean(before + after) != clean(before) + clean(after)
+
     def symbols(self, word: str) -> str:
         """One character for each byte of a pre-token."""
         return "".join(self._bytes[b] for b in word.encode())

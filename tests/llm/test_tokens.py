@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from shelfwise.llm import byte_bpe, packing, token_counts, wordbpe
@@ -66,6 +67,28 @@ def test_fitting_keeps_whole_pretokens_within_the_budget(library):
             assert n == len(text) or len(ids(library, text)) > budget
 
 
+def test_stored_counts_and_longest_prefixes(library):
+    counts = token_counts.prefix_counts()
+    hard = ["e\u0301cole o\u0323\u0302 q\u0307\u0323x", "\u1112\u1161\u11ab\u1100\u1173\u11af", "we'll they've you're'", "!!<|endoftext|>!!", "İİ ŉ'ŉ", "日本" * 60, "xq" * 40 + " 😀😀é", "e\u0301" * 50]
+    for text in [*HARD, *hard]:
+        if len(text) > 200:
+            continue
+        want = [len(ids(library, text[:n])) for n in range(len(text) + 1)]
+        assert counts.every(text) == want, text
+        assert [counts.at(text, n) for n in range(len(text) + 1)] == want
+        for budget in (0, 1, 2, 5, 9, 30):
+            assert counts.fitting(text, budget) == max(n for n, c in enumerate(want) if c <= budget)
+    for run in ("x" * 12_000, "日" * 5_000, "e\u0301" * 3_000):
+        n = counts.fitting(run, 2048)
+        assert n and len(ids(library, run[:n])) <= 2048 < len(ids(library, run[:n + 1]))
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet=st.sampled_from("abelrv'!\u0301\u0323 <|>İΣ日1"), max_size=25))
+def test_random_prefixes(library, text):
+    assert token_counts.prefix_counts().every(text) == [len(ids(library, text[:n])) for n in range(len(text) + 1)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet=st.sampled_from("abcdeinrstäéß'!3 \n<|>\\Σ日"), max_size=60))
 def test_random_texts(library, ranked, text):
@@ -82,8 +105,12 @@ def test_count_table(spark, library):
     want = sorted(((i, len((t or "").encode()), n := len(ids(library, t or "")), n > 2048) for i, t in TEXTS), key=str)
     assert sorted(((r["doc_id"], r["n_bytes"], r["n_tokens"], r["over_limit"]) for r in got), key=str) == want
     assert token_counts.count_tokens(table(spark, [])).count() == 0
-    stored = {r["doc_id"]: r for r in token_counts.prefix_tables(table(spark)).collect()}
-    assert stored[4]["tokens"] == [] and stored[1]["tokens"][-1] == len(ids(library, TEXTS[0][1]))
+    tables = token_counts.prefix_tables(table(spark))
+    stored = {r["doc_id"]: r for r in tables.collect()}
+    assert stored[4]["counts"] == [0] and stored[1]["counts"] == [len(ids(library, TEXTS[0][1][:n])) for n in range(len(TEXTS[0][1]) + 1)]
+    cuts = {r["doc_id"]: r for r in tables.select("doc_id", token_counts.tokens_at(F.col("counts"), F.lit(7)).alias("seven"), token_counts.fit_chars(F.col("counts"), F.lit(5)).alias("five")).collect()}
+    counts = token_counts.prefix_counts()
+    assert all(cuts[i]["seven"] == len(ids(library, (t or "")[:7])) and cuts[i]["five"] == counts.fitting(t or "", 5) for i, t in TEXTS if i is not None)
 
 
 def test_perfect_hash_is_minimal():
