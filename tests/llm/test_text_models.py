@@ -66,6 +66,18 @@ def test_added_spans_are_disjoint_and_sensible(spark):
             assert all(y == x or y["e"] <= x["s"] or x["e"] <= y["s"] for y in r["spans"])
 
 
+def test_trees_decide_addresses_and_numbers_in_dropped_matches(spark):
+    """Spelled addresses have features of their own and are added, words between full stops are not; cards in pairs of digits and numbers
+    that the base rules drop with their neighbours are found whole."""
+    planted = [("write to jane.doe(at)mail.example.org today", "email:9:37"), ("mail bob [at] example [dot] com now", "email:5:31"), ("meet me (at) noon. Then we go", ""),
+               ("n" * 80 + " (at) firm.de", f"email:0:{80 + 13}"), ("4111 1111 1111 1111 5500 0000 0000 0004", "card:0:19,card:20:39"),
+               ("call +49 30 1234567 10.0.0.1", "phone:5:19,ip:20:28"), ("41 11 11 11 11 11 11 11 ok", "card:0:23")]
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    rows = spark.createDataFrame([(-1 - i, t) for i, (t, _) in enumerate(planted)], "doc_id bigint, text string")
+    got = pii.find(docs.union(rows)).where("doc_id < 0").select("doc_id", pii.span_text(F.col("spans")).alias("s")).collect()
+    assert {r["doc_id"]: r["s"] for r in got} == {-1 - i: want for i, (_, want) in enumerate(planted)}
+
+
 def test_redaction(spark):
     df = table(spark)
     out = pii.redact(df)
