@@ -17,7 +17,7 @@ from shelfwise.params import DEFAULTS, EligibilityParams, Reranking, RetrievalPa
 from shelfwise.plans import ranker, serve
 from shelfwise.plans.features import Catalog
 from shelfwise.sources import embedding_store, reports, snapshots
-from shelfwise.sources.stage import stage_root
+from shelfwise.sources.stage import stage, stage_root
 
 RANKED = "case_id bigint, rank bigint, item_id bigint"
 
@@ -126,6 +126,28 @@ def test_bounded_search_equals_full_search_with_less_work(spark):
     assert {(h.query_id, h["rank"], h.item_id) for h in same.collect()} == {(h.query_id, h["rank"], h.item_id) for h in retrieval.nearest_items(vec_df(spark, q, "query_id"), items, 12).collect()}
 
 
+def test_search_of_evenly_spread_vectors_sends_each_query_once_a_pass(spark, monkeypatch):
+    m = unit(900, 16, 5)
+    m[100:400] = m[100]  # copies: the lowest ids stay
+    items, q = vec_df(spark, m, "item_id"), np.vstack([m[95:105], unit(20, 16, 6), np.zeros((2, 16))])
+    sent = []
+
+    def counted(df, name):
+        out = stage(df, name)
+        if {"query_id", "vector"} <= set(out.columns):
+            sent.append(out.count())
+        return out
+
+    monkeypatch.setattr(retrieval, "stage", counted)
+    params = replace(RetrievalParams(), item_block_rows=50, query_chunk_rows=4)
+    unit_q = q / np.clip(np.linalg.norm(q, axis=1, keepdims=True), 1e-12, None)
+    scores = np.round(unit_q @ m.T, 9)
+    want = {(i, n + 1, int(j)) for i, row in enumerate(scores) for n, j in enumerate(np.lexsort((np.arange(len(m)), -row))[:7])}
+    for hits in (retrieval.bounded_topk(vec_df(spark, q, "query_id"), items, 7, params)[0], retrieval.exact_topk(vec_df(spark, q, "query_id"), items, 7, params)):
+        assert {(h.query_id, h["rank"], h.item_id) for h in hits.collect()} == want
+    assert len(sent) == 2 and max(sent) <= len(q)
+
+
 def test_cell_search_recall(spark):
     centres = unit(12, 16, 3)
     noise = np.random.default_rng(4).normal(size=(600, 16)) * 0.15
