@@ -72,17 +72,19 @@ def load_vocabularies(spark: SparkSession, names: list[str], path: str) -> tuple
 
 def in_batch_softmax(pairs: DataFrame, batches: int, temperature: float) -> DataFrame:
     """Loss and hit of every (user vector, item vector) row against the items of its batch. Batches are small by
-    construction (rows / batches), and each emits one row per pair."""
+    construction (rows / batches), and each emits one row per pair. Equal items of a batch are multiplied once, so that they score the same, and
+    scores are compared at 9 digits; of equal ones the lowest row is taken."""
     import numpy as np
     import pyarrow as pa
 
     def one(table: pa.Table) -> pa.Table:
         from shelfwise.operators.retrieval import _matrix, _unit
         table = table.sort_by("row_id")
-        logits = (_unit(_matrix(table.column("user_vector"))) @ _unit(_matrix(table.column("item_vector"))).T) / temperature
+        items, same = np.unique(_matrix(table.column("item_vector")), axis=0, return_inverse=True)
+        logits = ((_unit(_matrix(table.column("user_vector"))) @ _unit(items).T) / temperature)[:, same.ravel()]
         top = logits.max(axis=1)
         loss = top + np.log(np.exp(logits - top[:, None]).sum(axis=1)) - np.diag(logits)
-        hit = np.argmax(logits, axis=1) == np.arange(len(loss))
+        hit = np.argmax(np.round(logits, 9), axis=1) == np.arange(len(loss))
         return pa.table({"row_id": table.column("row_id"), "batch": table.column("batch"), "loss": pa.array(loss), "hit": pa.array(hit)})
 
     batch = F.pmod(F.conv(F.substring(F.md5(F.col("row_id").cast("string")), 1, 8), 16, 10).cast("bigint"), F.lit(batches))

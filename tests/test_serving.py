@@ -11,7 +11,7 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from shelfwise.operators import candidates, eligibility, metrics, perceptron, ranking, ranks, rerank, retrieval
+from shelfwise.operators import candidates, eligibility, encode, metrics, perceptron, ranking, ranks, rerank, retrieval
 from shelfwise.operators.textvec import fit_hashing_encoder
 from shelfwise.params import DEFAULTS, EligibilityParams, Reranking, RetrievalParams
 from shelfwise.plans import ranker, serve
@@ -382,3 +382,9 @@ def test_fingerprint_ignores_order_but_not_content(spark):
     df = spark.range(100).withColumn("x", F.col("id") * 2)
     a, b = (snapshots.fingerprint(df.repartition(n)).first().fingerprint for n in (1, 7))
     assert a == b and len(a) == 16 and snapshots.fingerprint(df.withColumn("x", F.lit(1))).first().fingerprint != a
+
+
+def test_in_batch_ties_at_nine_digits_go_to_the_lowest_row(spark):
+    rows = [(0, [1.0, 0.0], [1.0, 1e-7]), (1, [1.0, 0.0], [1.0, 0.0]), (2, [0.0, 1.0], [0.0, 1.0])]
+    pairs = spark.createDataFrame(rows, "row_id bigint, user_vector array<double>, item_vector array<double>")
+    assert {r.row_id: r.hit for r in encode.in_batch_softmax(pairs, 1, 0.05).collect()} == {0: True, 1: False, 2: True}
