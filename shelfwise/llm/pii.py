@@ -2,9 +2,10 @@
 
 Base rules find e-mail addresses, IP addresses, card and phone numbers, left to right, and drop a match that fails its check as a whole. Generators of high recall
 propose overlapping spans inside and around such matches (runs of digit groups, addresses cut short, spelled-out addresses). Boosted trees score a
-proposal by its format and context; they learn from a bounded sample of proposals that the base rules settle, so proposals
-inside a dropped match are the ones they decide. A threshold per kind, calibrated on held-out rows, selects what is added to
-the base spans. Everything runs per row inside arrays: no shuffle, and a text of any length is one row's work.
+proposal by its format and context; they learn from the proposals of all rows that the base rules settle, so proposals
+inside a dropped match are the ones they decide. A threshold per kind, calibrated on the held-out quarter of these, selects what is added to
+the base spans. Spans are found per row inside arrays, and a text of any length is one row's work; only the counts of settled proposals by
+features and label are shuffled, and the trees take them as weights.
 """
 
 from __future__ import annotations
@@ -17,13 +18,12 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfwise.llm.arrow import by_hash
 from shelfwise.sources.stage import stage
 
 KINDS = ("email", "ip", "card", "phone")
 EMAIL, IP, CARD, PHONE = range(4)
-#: Rows whose settled proposals the trees and thresholds are fitted on, about so many at most.
-SAMPLE_ROWS = 50_000
+#: Partitions of the counted proposals; their order is fixed, so that the fit is.
+_FIT_PARTS = 8
 #: Share of accepted held-out proposals that must be right.
 PRECISION = 0.98
 TREES, DEPTH = 12, 4
@@ -183,7 +183,7 @@ def _proposals(df: DataFrame) -> DataFrame:
 
 
 def _labelled(df: DataFrame) -> DataFrame:
-    """(f, label, held) of proposals that the base rules settle: those that are a base span (1), and others (0) unless they
+    """(f, label, held, n): how many proposals of these features there are among those that the base rules settle: those that are a base span (1), and others (0) unless they
     lie strictly inside a dropped match or are addresses apart from all base spans: no base rule speaks of spelled ones."""
     # The outer form: Spark derives no filter from it, which would repeat the whole expression of `_seen`.
     rows = df.select("_key", "_base", "_dropped", F.explode_outer("_seen").alias("c"))
@@ -191,7 +191,8 @@ def _labelled(df: DataFrame) -> DataFrame:
     hit = F.exists("_base", lambda b: (b["k"] == F.col("c.k")) & (b["s"] == F.col("c.s")) & (b["e"] == F.col("c.e")))
     near = F.exists("_base", lambda b: (b["s"] < F.col("c.e")) & (F.col("c.s") < b["e"]))
     rows = rows.select(F.xxhash64("_key", "c.s", "c.e", "c.k").alias("h"), F.col("c.f").alias("f"), hit.cast("double").alias("label"), (hit | ~inside & ((F.col("c.k") != EMAIL) | near)).alias("known"))
-    return rows.where("known AND f IS NOT NULL").select("f", "label", (F.pmod("h", F.lit(4)) == 0).alias("held"))
+    rows = rows.where("known AND f IS NOT NULL").select("f", "label", (F.pmod("h", F.lit(4)) == 0).alias("held"))
+    return rows.groupBy("f", "label", "held").agg(F.count(F.lit(1)).cast("double").alias("n"))
 
 
 def _tree_columns(model) -> list[tuple[float, str]]:
@@ -212,17 +213,17 @@ def _tree_columns(model) -> list[tuple[float, str]]:
     return out
 
 
-def _fit(sample: DataFrame) -> tuple[str | None, dict[int, float]]:
+def _fit(settled: DataFrame) -> tuple[str | None, dict[int, float]]:
     """SQL for a proposal's probability over array `f`, and the threshold of each kind that has one."""
-    sample = stage(sample, "pii_sample").coalesce(1)
-    labels = {r["label"] for r in sample.where("NOT held").select("label").distinct().collect()}
+    settled = stage(settled, "pii_settled").repartition(_FIT_PARTS, "f").sortWithinPartitions("f", "label", "held")
+    labels = {r["label"] for r in settled.where("NOT held").select("label").distinct().collect()}
     if labels != {0.0, 1.0}:
         return None, {}
-    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=5, featuresCol="v", labelCol="label").fit(sample.where("NOT held").select(array_to_vector("f").alias("v"), "label"))
+    model = GBTClassifier(maxIter=TREES, maxDepth=DEPTH, seed=5, featuresCol="v", labelCol="label", weightCol="n").fit(settled.where("NOT held").select(array_to_vector("f").alias("v"), "label", "n"))
     score = " + ".join(f"{weight}D * ({sql})" for weight, sql in _tree_columns(model))
     probability = f"1D / (1D + exp(-2D * ({score})))"
-    held = sample.where("held").select(F.col("f")[0].cast("int").alias("k"), F.round(F.expr(probability), 6).alias("p"), "label")
-    steps = held.groupBy("k", "p").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("right")).collect()  # a few distinct scores: each comes from a leaf of every tree
+    held = settled.where("held").select(F.col("f")[0].cast("int").alias("k"), F.round(F.expr(probability), 6).alias("p"), "label", "n")
+    steps = held.groupBy("k", "p").agg(F.sum("n").alias("n"), F.sum(F.col("label") * F.col("n")).alias("right")).collect()  # a few distinct scores: each comes from a leaf of every tree
     limits = {}
     for k in range(4):
         n = good = 0
@@ -247,8 +248,7 @@ def find(df: DataFrame, id_column: str = "doc_id", text_column: str = "text", ca
     settled proposals of both labels, nothing is added. Repeated rows give repeated results; NULL ids are kept."""
     carry = list(carry or [])
     rows = df.select(F.col(id_column).alias("_key"), F.coalesce(F.col(text_column), F.lit("")).alias("_text"), *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    sample = by_hash(rows.select("_key", "_text"), SAMPLE_ROWS, F.col("_key"))
-    probability, limits = _fit(_labelled(_proposals(_base(sample))))
+    probability, limits = _fit(_labelled(_proposals(_base(rows.select("_key", "_text")))))
     rows = _proposals(_base(rows))
     spans = F.col("_base")
     if limits:

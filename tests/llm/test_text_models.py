@@ -66,6 +66,16 @@ def test_added_spans_are_disjoint_and_sensible(spark):
             assert all(y == x or y["e"] <= x["s"] or x["e"] <= y["s"] for y in r["spans"])
 
 
+def test_proposals_of_all_rows_are_counted(spark, monkeypatch):
+    monkeypatch.setattr(pii, "SAMPLE_ROWS", 40, raising=False)  # no bound on rows may come between
+    seen = []
+    monkeypatch.setattr(pii, "_fit", lambda settled, fit=pii._fit: seen.append(settled) or fit(settled))
+    texts = ["mail a.b@example.org now", "card 4111 1111 1111 1111 and 4111 1111 1111 1112"]
+    pii.find(table(spark, [(i, texts[i % 2]) for i in range(400)]))
+    (counted,) = seen
+    assert counted.agg(F.sum("n" if "n" in counted.columns else F.lit(1))).first()[0] >= 400 and counted.count() < 100
+
+
 def test_trees_decide_addresses_and_numbers_in_dropped_matches(spark):
     """Spelled addresses have features of their own and are added, words between full stops are not; cards in pairs of digits and numbers
     that the base rules drop with their neighbours are found whole."""
