@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfwise.functions import vectors
-from shelfwise.operators import affinity, loo, temporal, temporal_examples
+from shelfwise.operators import affinity, loo, prefixes, temporal, temporal_examples
 from shelfwise.params import DEFAULTS
 from shelfwise.plans import evaluate, examples, features
 from shelfwise.registry.core import long, query, r
@@ -162,7 +162,7 @@ def _(t):
 def _(t):
     _, te = _temporal(t)
     chat = temporal_examples.chatbot_factors(te.base, te.examples, P.features.recency)
-    v = affinity.user_vectors(temporal_examples.signal_components(te.log, te.examples, chat, t.embeddings, P.features, EMBEDDING_DIM), EMBEDDING_DIM)
+    v = prefixes.user_vectors(te.log, te.examples, chat, t.embeddings, P.features, EMBEDDING_DIM)
     return v.select("example_id", F.posexplode("vector").alias("pos", "value")).withColumn("pos", long("pos")).withColumn("value", r("value"))
 
 

@@ -7,9 +7,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from shelfwise.operators import history, loo, ranks, scan, temporal
+from shelfwise.operators import history, loo, prefixes, ranks, scan, temporal
 from shelfwise.operators.running import totals_before, vector_totals_before
 from shelfwise.operators.skew import salted_join
+from shelfwise.params import FeatureParams
 
 EVENTS = "event_id bigint, user_id bigint, product_id bigint, action_type string, action_time timestamp_ntz"
 D0 = datetime(2024, 1, 1)
@@ -203,3 +204,50 @@ def test_pair_id_rejects_large_ids(spark):
     df = spark.createDataFrame([(5, 1 << 31)], "u bigint, p bigint")
     with pytest.raises(Exception, match="too large"):
         df.select(loo.pair_id(F.col("u"), F.col("p"))).collect()
+
+
+@pytest.mark.parametrize("hot_events", [1_000_000, 4])
+def test_prefixes_are_those_of_every_example(spark, hot_events):
+    """Vectors and affinities before each cutoff, of users cut into days and of whole ones, against pairs of examples and events."""
+    params, rng, kinds = FeatureParams(), random.Random(5), ("click", "purchase", "cart", "search", "chatbot")
+    day0 = datetime(2024, 1, 1)
+    log = [(u, k, p, day0 + timedelta(hours=h), 0.5 ** (10 - h / 24)) for u in (1, 2) for k, p, h in ((rng.choice(kinds), rng.randrange(6), rng.randrange(0, 200, 3)) for _ in range(12 * u))]
+    asked = [(100 * u + i, u, day0 + timedelta(hours=h), 0.5 ** (10 - h / 24)) for u in (1, 2, 3) for i, h in enumerate(range(0, 260, 20))]
+    chat = [(e, 0.25 + e / 1000) for e, u, cut, _ in asked if any(x[0] == u and x[1] == "chatbot" and x[3] < cut for x in log)]
+    item = {p: [rng.uniform(-1, 1) for _ in range(3)] for p in range(5)}
+    group = {p: "abc"[p % 3] for p in range(5)}
+    frames = (spark.createDataFrame(log, "user_id bigint, signal string, product_id bigint, ts timestamp_ntz, g double"),
+              spark.createDataFrame(asked, "example_id bigint, user_id bigint, cutoff timestamp_ntz, at double"), spark.createDataFrame(chat, "example_id bigint, chat_w double"))
+    got = {r.example_id: r.vector for r in prefixes.user_vectors(*frames, spark.createDataFrame(list(item.items()), "product_id bigint, embedding array<double>"), params, 3, hot_events).collect()}
+    catalog = spark.createDataFrame(list(group.items()), "product_id bigint, kind string")
+    names = {(r.example_id, r.name): r.v for r in prefixes.attribute_contributions(*frames, catalog, "kind", params, hot_events=hot_events).collect()}
+    best = {(r.example_id, r.name): r.v for r in prefixes.attribute_contributions(*frames, catalog, "kind", params, 1, hot_events).collect()}
+    vectors, contributions, chat_w = {}, {}, dict(chat)
+    for e, u, cut, at in asked:
+        before, parts = [x for x in log if x[0] == u and x[3] < cut and x[2] in item], []
+        for k in kinds:
+            mine = [x for x in before if x[1] == k]
+            w = [1.0 if k == "chatbot" else x[4] / at for x in mine]
+            if mine:
+                parts.append((params.weight(k) * (chat_w[e] if k == "chatbot" else sum(w) / len(w)), [sum(a * item[x[2]][i] for a, x in zip(w, mine)) / sum(w) for i in range(3)]))
+            for a, x in zip(w, mine):
+                key = (e, group[x[2]])
+                contributions[key] = contributions.get(key, 0.0) + params.weight(k) * (chat_w[e] if k == "chatbot" else a)
+        if parts:
+            vectors[e] = [sum(b * v[i] for b, v in parts) / sum(b for b, _ in parts) for i in range(3)]
+    assert got == {e: pytest.approx(v, rel=1e-9) for e, v in vectors.items()} and len(got) > 15
+    assert names == {k: pytest.approx(v, rel=1e-9) for k, v in contributions.items()}
+    assert best == {k: names[k] for k in names if names[k] == max(v for (e, _), v in names.items() if e == k[0])}
+
+
+def test_vectors_of_examples_are_shuffled_once(spark):
+    """Events carry the stored vector, examples none, and a user's rows meet in one exchange; no sums of 64 doubles travel."""
+    params = FeatureParams()
+    log = spark.createDataFrame([(1, "click", 1, datetime(2024, 1, 1), 1.0)], "user_id bigint, signal string, product_id bigint, ts timestamp_ntz, g double")
+    ex = spark.createDataFrame([(5, 1, datetime(2024, 1, 2), 1.0)], "example_id bigint, user_id bigint, cutoff timestamp_ntz, at double")
+    chat = spark.createDataFrame([], "example_id bigint, chat_w double")
+    items = spark.createDataFrame([(1, [1.0, 2.0])], "product_id bigint, embedding array<float>")
+    out = prefixes.user_vectors(log, ex, chat, items, params, 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert sum("Exchange hashpartitioning(user_id" in line for line in plan.splitlines()) == 1
+    assert [list(r.vector) for r in out.collect()] == [[1.0, 2.0]]
