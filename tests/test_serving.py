@@ -388,3 +388,13 @@ def test_in_batch_ties_at_nine_digits_go_to_the_lowest_row(spark):
     rows = [(0, [1.0, 0.0], [1.0, 1e-7]), (1, [1.0, 0.0], [1.0, 0.0]), (2, [0.0, 1.0], [0.0, 1.0])]
     pairs = spark.createDataFrame(rows, "row_id bigint, user_vector array<double>, item_vector array<double>")
     assert {r.row_id: r.hit for r in encode.in_batch_softmax(pairs, 1, 0.05).collect()} == {0: True, 1: False, 2: True}
+
+
+def test_snapshots_are_compressed_and_come_back_whole(spark, tmp_path):
+    rows = spark.range(5000).select("id", F.concat(F.lit("name "), F.col("id") % 7).alias("name"), F.when(F.col("id") % 3 > 0, F.col("id") / 4).alias("part")).repartition(3)
+    snapshots.save({"rows": rows}, str(tmp_path / "packed"))
+    rows.write.json(str(tmp_path / "plain"))
+    packed, plain = (sum(p.stat().st_size for p in (tmp_path / d).rglob("part-*")) for d in ("packed/rows", "plain"))
+    assert packed * 3 < plain
+    back = snapshots.read(spark, str(tmp_path / "packed"), {"rows": rows.schema})["rows"]
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
