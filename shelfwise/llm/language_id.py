@@ -137,16 +137,20 @@ def _judged(df: DataFrame, model: Trigrams, text_column: str, declared_column: s
     k = len(model.languages)
     log, languages = model.log, model.languages
 
+    carried = [f"c{i}" for i in range(len(carry))]
+    # a text that is carried is sent to the workers once
+    text = carried[carry.index(text_column)] if text_column in carry else "text"
+
     def run(batch):
         m = Trigrams.__new__(Trigrams)
         m.log, m.languages = log, languages
-        return {**{n: batch.column(n) for n in batch.schema.names if n != "text"}, "scores": pa.array([m.scores(t) for t in texts(batch)], pa.list_(pa.float64()))}
+        return {**{n: batch.column(n) for n in batch.schema.names if n != "text"}, "scores": pa.array([m.scores(t) for t in texts(batch, text)], pa.list_(pa.float64()))}
 
     def evidence(column):
         return F.coalesce(F.col(_quoted(column)).cast("string"), F.lit("")) if column else F.lit("")
 
-    carried = [f"c{i}" for i in range(len(carry))]
-    source = df.select(F.col(_quoted(text_column)).alias("text"), evidence(declared_column).alias("declared"), evidence(host_column).alias("host"), evidence(suffix_column).alias("suffix"),
+    own = [] if text in carried else [F.col(_quoted(text_column)).alias("text")]
+    source = df.select(*own, evidence(declared_column).alias("declared"), evidence(host_column).alias("host"), evidence(suffix_column).alias("suffix"),
                        *[F.col(_quoted(c)).alias(n) for c, n in zip(carry, carried)])
     if not k:
         return source.select(F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("probability"), F.lit(None).cast("string").alias("text_language"), F.lit(False).alias("accepted"), *carried)

@@ -12,7 +12,7 @@ import pytest
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from shelfwise.llm import chat
+from shelfwise.llm import chat, language_id
 from shelfwise.llm.templates import Template, TemplateError
 from tests.llm.helpers import near_components
 
@@ -125,6 +125,16 @@ def test_stages_give_back_all_columns(spark):
     assert corpus_pipeline.STAGES[-1][1](spark, docs, "").count() >= len(rows)
 
 
+def test_texts_go_to_the_language_model_once(spark, monkeypatch):
+    sent, per_batch = [], language_id.per_batch
+    monkeypatch.setattr(language_id, "per_batch", lambda df, columns, *rest: sent.append(sorted(columns)) or per_batch(df, columns, *rest))
+    docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, None, "en"), (3, "der Hund und die Katze", "de")], "doc_id bigint, text string, lang string")
+    model = language_id.fit(docs, "text", "lang", "doc_id")
+    rows = language_id.accepted(docs, model, "text").collect()
+    assert sent == [["c0", "c1", "c2", "declared", "host", "suffix"]]
+    assert {(r["doc_id"], r["text"]) for r in rows} == {(1, "the cat and the dog"), (3, "der Hund und die Katze")}
+
+
 def test_pipeline_of_nothing(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0

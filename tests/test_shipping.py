@@ -5,10 +5,11 @@ import subprocess
 import sys
 from types import SimpleNamespace
 
+import pyarrow as pa
 import pytest
 from pyspark import StorageLevel
 
-from shelfwise.sources import stage
+from shelfwise.sources import ship, stage
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 
@@ -58,3 +59,23 @@ def test_staged_rows_come_from_the_shared_folder(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(stage, "stage_root", lambda spark: str(tmp_path))
     df = stage.stage(spark.range(5), "numbers")
     assert df.count() == 5 and all(f.startswith(f"file://{tmp_path}/shelfwise/numbers-") for f in df.inputFiles())
+
+
+def test_batches_for_workers_are_bounded_in_bytes(spark):
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    ship.ship(spark)
+    sent = spark.range(0, 4_000, 1, 1).selectExpr("repeat('x', 4000) AS text").mapInArrow(sizes, "size bigint").collect()
+    assert sum(r["size"] for r in sent) >= 16_000_000 and max(r["size"] for r in sent) < 5_000_000
+
+
+def test_a_bound_of_the_session_is_kept(spark):
+    before = spark.conf.get(ship._BATCH)
+    try:
+        spark.conf.set(ship._BATCH, "9m")
+        ship.ship(spark)
+        assert spark.conf.get(ship._BATCH) == "9m"
+    finally:
+        spark.conf.set(ship._BATCH, before)
