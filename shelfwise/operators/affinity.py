@@ -60,9 +60,16 @@ def top_category(affinity: DataFrame) -> DataFrame:
     return affinity.where("rank = 1").select("example_id", F.col("name").alias("top_category"))
 
 
-def as_map(affinity: DataFrame, alias: str) -> DataFrame:
-    """Affinity rows folded into one small map per example (at most k entries)."""
-    return affinity.groupBy("example_id").agg(F.map_from_entries(F.collect_list(F.struct("name", "weight"))).alias(alias))
+def as_lists(affinity: DataFrame) -> DataFrame:
+    """(example_id, top): affinity rows folded into one array of (name, weight) per example, by rank (at most k entries)."""
+    ranked = F.array_sort(F.collect_list(F.struct("rank", "name", "weight")))
+    return affinity.groupBy("example_id").agg(ranked.alias("r")).select(
+        "example_id", F.transform("r", lambda e: F.struct(e["name"].alias("name"), e["weight"].alias("weight"))).alias("top"))
+
+
+def as_rows(lists: DataFrame) -> DataFrame:
+    """(example_id, name, weight, rank) of (example_id, top)."""
+    return lists.select("example_id", F.posexplode("top").alias("pos", "e")).select("example_id", "e.name", "e.weight", (F.col("pos") + 1).alias("rank"))
 
 
 def signal_vectors(hist: DataFrame, embeddings: DataFrame, params: FeatureParams, dim: int) -> DataFrame:

@@ -44,19 +44,19 @@ def leave_one_out(t: Tables, params: Params = DEFAULTS) -> LeaveOneOut:
     return LeaveOneOut(roles, held, ex, counts, mentions, usable, open_searches, summaries)
 
 
-def loo_category_contributions(l: LeaveOneOut, cat: Catalog, params: Params = DEFAULTS) -> DataFrame:
-    parts = loo.attribute_contributions(l.counts, l.held, l.examples, l.usable, cat.features, "category_name", params.features)
-    return parts.unionByName(affinity.preferred_bonus(l.examples, cat.users, params.features)).groupBy("example_id", "name").agg(F.sum("v").alias("v"))
+def loo_categories(l: LeaveOneOut, cat: Catalog, params: Params = DEFAULTS) -> DataFrame:
+    p = params.features
+    bonus = cat.users.where("preferred_category IS NOT NULL").select("user_id", F.col("preferred_category").alias("name"), F.lit(p.preferred_category_weight).alias("bonus"))
+    return loo.top_attributes(l.counts, l.held, l.examples, l.usable, cat.features, "category_name", p, p.max_top_categories, bonus)
 
 
 def loo_features(t: Tables, l: LeaveOneOut, cat: Catalog, params: Params = DEFAULTS, text_vectors: DataFrame | None = None) -> DataFrame:
     p = params.features
-    by_cat = affinity.top_normalised(loo_category_contributions(l, cat, params), p.max_top_categories)
-    by_brand = affinity.top_normalised(loo.attribute_contributions(l.counts, l.held, l.examples, l.usable, cat.features, "brand", p), p.max_top_brands)
-    comps = loo.signal_components(l.counts, l.held, l.examples, l.usable, t.embeddings, p, EMBEDDING_DIM, l.open_searches, l.mentions, l.summaries, text_vectors)
+    by_brand = loo.top_attributes(l.counts, l.held, l.examples, l.usable, cat.features, "brand", p, p.max_top_brands)
+    vector = loo.user_vectors(l.counts, l.held, l.examples, l.usable, t.embeddings, p, EMBEDDING_DIM, l.open_searches, l.mentions, l.summaries, text_vectors)
     centre = cat.context.select("median_price").scalar()
     counts = loo.example_counts(l.counts, t.searches, l.counts.where("signal = 'chatbot'"), l.held, l.examples)
-    return assemble(l.examples, counts, by_cat, by_brand, affinity.user_vectors(comps, EMBEDDING_DIM),
+    return assemble(l.examples, counts, loo_categories(l, cat, params), by_brand, vector,
                     loo.price_sums(l.counts, l.held, l.examples, cat.features, centre), cat)
 
 
@@ -91,5 +91,5 @@ def temporal_features(t: Tables, te: TemporalExamples, cat: Catalog, params: Par
     by_brand = affinity.top_normalised(prefixes.attribute_contributions(te.log, te.examples, chat, cat.features, "brand", p, p.max_top_brands), p.max_top_brands)
     vector = prefixes.user_vectors(te.log, te.examples, chat, t.embeddings, p, EMBEDDING_DIM)
     centre = cat.context.select("median_price").scalar()
-    return assemble(te.examples, temporal_examples.counts(te.base), by_cat, by_brand, vector,
+    return assemble(te.examples, temporal_examples.counts(te.base), affinity.as_lists(by_cat), affinity.as_lists(by_brand), vector,
                     temporal_examples.price_summary(te.base, centre), cat)

@@ -35,14 +35,15 @@ def live_examples(users: DataFrame) -> DataFrame:
 
 def assemble(examples: DataFrame, counts: DataFrame, by_category: DataFrame, by_brand: DataFrame, vector: DataFrame, summary: DataFrame,
              cat: Catalog) -> DataFrame:
-    """One row per example from its parts; missing parts become empty maps and NULL vectors."""
+    """One row per example from its parts; missing parts become empty maps and NULL vectors. Affinities are (example_id, top)."""
     price = affinity.price_profiles(summary, examples, cat.users, cat.features, cat.context, cat.category_prices).drop("user_id")
     empty = F.create_map().cast("map<string,double>")
+    categories = by_category.select("example_id", F.map_from_entries("top").alias("category_affinity"), F.try_element_at("top", F.lit(1))["name"].alias("top_category"))
+    brands = by_brand.select("example_id", F.map_from_entries("top").alias("brand_affinity"))
     return (
         counts.join(cat.users, "user_id", "left")
-        .join(affinity.as_map(by_category, "category_affinity"), "example_id", "left")
-        .join(affinity.as_map(by_brand, "brand_affinity"), "example_id", "left")
-        .join(affinity.top_category(by_category), "example_id", "left")
+        .join(categories, "example_id", "left")
+        .join(brands, "example_id", "left")
         .join(vector, "example_id", "left")
         .join(price, "example_id", "left")
         .withColumn("category_affinity", F.coalesce("category_affinity", empty))
@@ -55,8 +56,8 @@ def user_features(hist: DataFrame, examples: DataFrame, cat: Catalog, embeddings
     """Features per example from a history table. `hist` should be staged; it feeds five aggregations."""
     return assemble(
         examples, history.engagement_counts(hist, examples),
-        affinity.category_affinity(hist, cat.features, examples, cat.users, params),
-        affinity.brand_affinity(hist, cat.features, params),
+        affinity.as_lists(affinity.category_affinity(hist, cat.features, examples, cat.users, params)),
+        affinity.as_lists(affinity.brand_affinity(hist, cat.features, params)),
         affinity.user_vectors(affinity.signal_vectors(hist, embeddings, params, dim), dim),
         affinity.price_summary(affinity.purchase_prices(hist, cat.features)), cat)
 

@@ -122,7 +122,7 @@ def _(t):
 @query("loo_category_affinity", "I4 I5 B14 B15 B17", "SELECT e.user_id, coalesce(e.product_id, -1) AS own_product, name, round(weight, 9) AS weight, rank FROM x_loocat JOIN x_looex e USING (example_id)")
 def _(t):
     l, cat = examples.leave_one_out(t), features.build_catalog(t)
-    a = affinity.top_normalised(examples.loo_category_contributions(l, cat), P.features.max_top_categories)
+    a = affinity.as_rows(examples.loo_categories(l, cat))
     return labelled(a, l.examples).select("user_id", "own_product", "name", r("weight", 9).alias("weight"), long("rank").alias("rank"))
 
 

@@ -251,3 +251,71 @@ def test_vectors_of_examples_are_shuffled_once(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert sum("Exchange hashpartitioning(user_id" in line for line in plan.splitlines()) == 1
     assert [list(r.vector) for r in out.collect()] == [[1.0, 2.0]]
+
+
+def _left_out(spark, user_products, extra=()):
+    """Frames of leave-one-out examples: every user bought the products given, saw some of them, and the first of each is held out."""
+    rng = random.Random(3)
+    counts = [(u, "purchase", p, 1 + rng.randrange(2)) for u, ps in user_products.items() for p in ps]
+    counts += [(u, s, p, 1 + rng.randrange(3)) for u, ps in user_products.items() for p in (*ps, 900) for s in ("click", "cart", "search") if rng.random() < 0.4] + list(extra)
+    held = [(u, ps[0]) for u, ps in user_products.items()]
+    ex = [(u * 10_000 + p, u, p) for u, ps in user_products.items() for p in ps[1:]] + [(-u - 1, u, None) for u in user_products]
+    usable = [(e, e % 3 != 0) for e, _, _ in ex]
+    frame = spark.createDataFrame
+    return counts, held, ex, dict(usable), (frame(counts, "user_id bigint, signal string, product_id bigint, n bigint"), frame(held, "user_id bigint, product_id bigint"),
+                                            frame(ex, "example_id bigint, user_id bigint, product_id bigint"), frame(usable, "example_id bigint, chat_ok boolean"))
+
+
+def test_left_out_examples_equal_brute_force(spark):
+    """Affinities and vectors of leave-one-out examples, from a user's totals, against each example's own rows."""
+    params = FeatureParams()
+    chats = [(1, "chatbot", 900, 1), (2, "chatbot", 900, 2)]  # nobody bought it, so it is never left out
+    counts, held, ex, usable, frames = _left_out(spark, {1: list(range(1, 12)), 2: [3, 4, 5], 3: [8, 9]}, chats)
+    group = {p: "abcdefgh"[p % 8] for p in (*range(1, 12), 900)}
+    item = {p: [float(p % 5) - 2, 1.0 / p, 0.5] for p in (*range(1, 11), 900)}  # 11 has none
+    catalog = spark.createDataFrame(list(group.items()), "product_id bigint, kind string")
+    bonus = {1: "h", 3: "z"}
+    top = {r.example_id: {e.name: e.weight for e in r.top} for r in loo.top_attributes(
+        *frames, catalog, "kind", params, 3, spark.createDataFrame([(u, n, 0.5) for u, n in bonus.items()], "user_id bigint, name string, bonus double")).collect()}
+    open_texts = [(1, 51, "x"), (1, 52, "y"), (2, 53, "x")]  # 51 names product 5, 52 the held one
+    texts = (spark.createDataFrame(open_texts, "user_id bigint, text_id bigint, text string"), spark.createDataFrame([(1, 51, 5), (1, 52, 1)], "user_id bigint, text_id bigint, product_id bigint"),
+             spark.createDataFrame([(2, "y")], "user_id bigint, text string"), spark.createDataFrame([("x", [1.0, 2.0, 3.0]), ("y", [0.0, -1.0, 4.0])], "text string, embedding array<double>"))
+    items = spark.createDataFrame(list(item.items()), "product_id bigint, embedding array<double>")
+    plain = {r.example_id: r.vector for r in loo.user_vectors(*frames, items, params, 3).collect()}
+    with_text = {r.example_id: r.vector for r in loo.user_vectors(*frames, items, params, 3, *texts).collect()}
+    word, want_top, want_plain, want_text = {"x": [1.0, 2.0, 3.0], "y": [0.0, -1.0, 4.0]}, {}, {}, {}
+    for e, u, own in ex:
+        out = {p for v, p in held if v == u} | {own}
+        rows = [(s, p, n) for v, s, p, n in counts if v == u and p not in out and (s != "chatbot" or usable[e])]
+        sums = {bonus[u]: 0.5} if u in bonus else {}
+        for s, p, n in rows:
+            if p in group:
+                sums[group[p]] = sums.get(group[p], 0.0) + params.weight(s) * n
+        best = sorted(sums, key=lambda k: (-round(sums[k], 12), k))[:3]
+        if best:
+            want_top[e] = {k: pytest.approx(sums[k] / sum(sums[b] for b in best)) for k in best}
+        vectors = [(s, n, item[p]) for s, p, n in rows if p in item]
+        said = [("search", 1, word[t]) for v, i, t in open_texts if v == u and i != 52 and not (i == 51 and own == 5)] + ([("chatbot", 1, word["y"])] if u == 2 and usable[e] else [])
+        for want, parts in ((want_plain, vectors), (want_text, vectors + said)):
+            signals = {s for s, _, _ in parts}
+            if signals:
+                mean = {s: sum(n * np.array(v) for k, n, v in parts if k == s) / sum(n for k, n, _ in parts if k == s) for s in signals}
+                want[e] = pytest.approx(list(sum(params.weight(s) * m for s, m in mean.items()) / sum(params.weight(s) for s in signals)))
+    assert top == want_top and plain == want_plain and with_text == want_text and len(plain) > 12
+
+
+def test_names_of_left_out_examples_follow_users(spark):
+    """200 examples of a user with 200 names: neither pairs of both nor a user's sums per signal are shuffled."""
+    *_, frames = _left_out(spark, {1: list(range(1, 202))})
+    catalog = spark.createDataFrame([(p, f"n{p}") for p in range(1, 202)], "product_id bigint, kind string")
+    store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
+
+    def shuffled():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        stages = store.stageList(None, False, False, gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+    before = shuffled()
+    got = loo.top_attributes(*frames, catalog, "kind", FeatureParams(), 5).collect()
+    assert len(got) == 201 and all(len(r.top) == 5 for r in got)
+    assert shuffled() - before < 10_000
