@@ -1,5 +1,6 @@
 """Temporal and leave-one-out protocols, and the operators that keep them linear, against brute force."""
 
+import dataclasses
 import random
 from datetime import datetime, timedelta
 
@@ -319,3 +320,19 @@ def test_names_of_left_out_examples_follow_users(spark):
     got = loo.top_attributes(*frames, catalog, "kind", FeatureParams(), 5).collect()
     assert len(got) == 201 and all(len(r.top) == 5 for r in got)
     assert shuffled() - before < 10_000
+
+
+def test_hot_users_are_counted_once_for_all_passes(spark, monkeypatch):
+    """The passes of one training set share the users that are cut into days, and cut ones give the same rows."""
+    from shelfwise.plans import examples, features
+    from shelfwise.sources import bindings
+    t = bindings.load(spark, "/root/testdata/sf0.001")
+    cat = features.build_catalog(t, popularity=False)
+    split = temporal.splits(t.events, t.users)
+    calls, count = [], prefixes.hot_keys
+    monkeypatch.setattr(prefixes, "hot_keys", lambda rows, keys, least: calls.append(1) or count(rows, keys, 50))
+    te = examples.temporal_training(t, split, cat)
+    cut = {r.example_id: r.vector for r in examples.temporal_features(t, te, cat).collect()}
+    assert not te.hot.isEmpty() and len(calls) == 1 and len(cut) == te.examples.count()
+    whole = dataclasses.replace(te, hot=te.hot.limit(0))
+    assert cut == {r.example_id: r.vector and pytest.approx(r.vector, abs=1e-9) for r in examples.temporal_features(t, whole, cat).collect()}
