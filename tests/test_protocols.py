@@ -306,7 +306,7 @@ def test_left_out_examples_equal_brute_force(spark):
 
 
 def test_names_of_left_out_examples_follow_users(spark):
-    """200 examples of a user with 200 names: neither pairs of both nor a user's sums per signal are shuffled."""
+    """200 examples of a user with 200 names: pairs of both are not shuffled."""
     *_, frames = _left_out(spark, {1: list(range(1, 202))})
     catalog = spark.createDataFrame([(p, f"n{p}") for p in range(1, 202)], "product_id bigint, kind string")
     store, gateway = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext._gateway
