@@ -1,5 +1,6 @@
 """Retrieval, metrics, candidate merging, re-ranking, serving, ranking contract, stores and reports."""
 
+import hashlib
 import math
 from dataclasses import replace
 
@@ -14,9 +15,10 @@ from pyspark.sql import functions as F
 from shelfwise.operators import candidates, eligibility, encode, metrics, perceptron, ranking, ranks, rerank, retrieval
 from shelfwise.operators.textvec import fit_hashing_encoder
 from shelfwise.params import DEFAULTS, EligibilityParams, Reranking, RetrievalParams
-from shelfwise.plans import ranker, serve
+from shelfwise.plans import evaluate, ranker, serve
 from shelfwise.plans.features import Catalog
-from shelfwise.sources import embedding_store, reports, snapshots
+from shelfwise.registry import ranking_queries
+from shelfwise.sources import bindings, embedding_store, reports, snapshots
 from shelfwise.sources.stage import stage, stage_root
 
 RANKED = "case_id bigint, rank bigint, item_id bigint"
@@ -398,3 +400,66 @@ def test_snapshots_are_compressed_and_come_back_whole(spark, tmp_path):
     assert packed * 3 < plain
     back = snapshots.read(spark, str(tmp_path / "packed"), {"rows": rows.schema})["rows"]
     assert sorted(map(tuple, back.collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
+
+
+def test_the_gradient_of_the_network_is_that_of_its_loss():
+    rng = np.random.default_rng(3)
+    x, second, flat = rng.normal(size=(40, 3)), rng.random(40) < 0.4, rng.normal(size=5 * 4 + 2 * 6)
+    value = lambda w: perceptron._loss_and_gradient(x, second, perceptron._unpacked(w, [3, 5, 2]))
+    _, g = value(flat)
+    for i in range(len(flat)):
+        e = np.zeros(len(flat))
+        e[i] = 1e-6
+        assert g[i] == pytest.approx((value(flat + e)[0] - value(flat - e)[0]) / 2e-6, abs=1e-4)
+
+
+def test_a_fit_in_tasks_is_as_good_as_the_library_s_and_knows_no_partitions(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(3000, 3))
+    data = [(int(a * b > 0.2 * c), float(a), float(3 * b + 1), float(c), 5.0) for a, b, c in x]
+    df, inputs = spark.createDataFrame(data, "label int, a double, b double, c double, flat double"), ["a", "b", "c", "flat"]
+    loss = lambda pairs: np.mean([-np.log(max(p if y else 1 - p, 1e-12)) for y, p in pairs])
+    net = MultilayerPerceptronClassifier(layers=[4, 12, 6, 2], maxIter=40, seed=1)
+    old = Pipeline(stages=[VectorAssembler(inputCols=inputs, outputCol="raw"), StandardScaler(inputCol="raw", outputCol="features", withMean=True), net]).fit(df)
+    theirs = loss([(r.label, r.p) for r in old.transform(df).select("label", vector_to_array("probability")[1].alias("p")).collect()])
+    for parts in (1, 7):
+        model = perceptron.fit(df.repartition(parts), inputs, "label", (12, 6), 40, 1)
+        ours = loss([(r.label, r.model_score) for r in model.scored(df, inputs, ["label"]).collect()])
+        assert ours < 1.15 * theirs + 0.02
+    both = model.scored(df.withColumn("q", model.score([F.col(c) for c in inputs])), inputs, ["q"]).collect()
+    assert all(r.model_score == pytest.approx(r.q, abs=1e-9) for r in both)
+    with pytest.raises(Exception, match="NULL"):
+        model.scored(df.withColumn("b", F.lit(None).cast("double")), inputs, ["label"]).collect()
+
+
+def test_the_served_model_builds_case_features_once(spark, monkeypatch):
+    calls = []
+    history = evaluate.case_history
+    monkeypatch.setattr(evaluate, "case_history", lambda *a, **k: calls.append(1) or history(*a, **k))
+    ranking_queries.served_with_model(bindings.load(spark, "/root/testdata/sf0.001"))
+    assert len(calls) == 1
+
+
+def test_a_sample_goes_on_where_its_first_draws_are_bought(spark):
+    """Every sample is the start of the draws of the whole list without purchases, also where more than the spare draws are bought."""
+    hits = spark.createDataFrame([(q, i, 1.0 - i / 100, i + 1) for q in (1, 2, 3) for i in range(40)], "query_id bigint, item_id bigint, score double, rank bigint")
+    want = spark.createDataFrame([(q, 10 + q, s, salt, n) for q, s, salt, n in ((1, "a", 0, 4), (1, "b", 1, 4), (2, "a", 0, 60), (3, "a", 0, 4))],
+                                 "example_id bigint, user_id bigint, split string, salt int, needed bigint")
+    draws = {(q, s): sorted(range(40), key=lambda i: (hashlib.md5(f"42:{10 + q}:{salt}:{i}".encode()).hexdigest(), i)) for q, s, salt in ((1, "a", 0), (1, "b", 1), (2, "a", 0), (3, "a", 0))}
+    bought = {(11, i) for i in draws[1, "a"][:15]} | {(12, 7)} | {(13, i) for i in range(40) if i != draws[3, "a"][39]}
+    got = ranking.retrieved_negatives(hits, want, spark.createDataFrame(sorted(bought) * 2, "user_id bigint, product_id bigint"), 42, ("split",)).collect()
+    for (q, s), order in draws.items():
+        free = [i for i in order if (10 + q, i) not in bought][:60 if q == 2 else 4]
+        assert {r.product_id for r in got if (r.example_id, r.split) == (q, s)} == set(free)
+    assert len(got) == 4 + 4 + 39 + 1
+
+
+def test_packed_rows_come_back(spark):
+    x = np.arange(3 * 130, dtype=np.float32).reshape(130, 3)
+    packed = perceptron._packed(x)
+    assert len(packed) == 3 and (perceptron._unpacked_rows(packed, np.float32).reshape(-1, 3) == x).all()
+    assert (perceptron._unpacked_rows(packed.slice(1), np.float32).reshape(-1, 3) == x[64:]).all()
+    df = spark.createDataFrame([(float(i), 7.0, float(i % 3)) for i in range(100)], "a double, b double, c double")
+    n, mean, spread = perceptron._moments(df.repartition(7), ["a", "b", "c"])
+    want = np.array([(i, 7.0, i % 3) for i in range(100)])
+    assert n == 100 and np.allclose(mean, want.mean(axis=0)) and np.allclose(spread, want.std(axis=0, ddof=1))
