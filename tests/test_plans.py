@@ -4,11 +4,14 @@ import os
 
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
 from shelfwise.operators import affinity, candidates, catalog, history, orders, temporal
 from shelfwise.params import DEFAULTS
 from shelfwise.plans import features
 from shelfwise.sources import bindings
+from shelfwise.sources.stage import stage
 
 ROOT = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no test data")
@@ -51,3 +54,12 @@ def test_group_limits_run_before_the_shuffle(t):
 def test_history_combines_rows_before_its_shuffle(t):
     text = plan(history.live_history(history.signals(t.events), DEFAULTS.features.recency))
     assert "partial_sum" in text and "partial_count" in text
+
+
+def test_tables_that_compress_well_are_not_broadcast(spark):
+    """A scan is planned by the room its rows take in a hash table, not by the size of its compressed file."""
+    ids = spark.range(600_000).select("id", F.lit(None).cast("timestamp").alias("cutoff"))
+    splits, other = stage(ids, "many_ids"), stage(ids, "other_ids")
+    assert "BroadcastHashJoin" not in plan(other.join(splits, "id"))
+    few = stage(spark.range(200), "few_ids")
+    assert "BroadcastHashJoin" in plan(splits.join(few, "id"))
