@@ -58,6 +58,7 @@ def test_history_combines_rows_before_its_shuffle(t):
 
 def test_tables_that_compress_well_are_not_broadcast(spark):
     """A scan is planned by the room its rows take in a hash table, not by the size of its compressed file."""
+    bindings.load(spark, ROOT)
     ids = spark.range(600_000).select("id", F.lit(None).cast("timestamp").alias("cutoff"))
     splits, other = stage(ids, "many_ids"), stage(ids, "other_ids")
     assert "BroadcastHashJoin" not in plan(other.join(splits, "id"))
